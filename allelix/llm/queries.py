@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, simhash, toxicity
+from . import decontam, mixing, simhash, tokens, toxicity
 from .common import load
 
 
@@ -34,11 +34,23 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def vocabulary_path() -> str:
+    """The tokenizer file that op10 and the pipeline use; the operator takes any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.read_documents(tokens.write_shards(load(spark, sf_dir, "documents"), vocabulary_path()))
+
+
 QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op5_simhash": op5_simhash,
     "op4_decontamination": op4_decontamination,
     "op8_source_mixing": op8_source_mixing,
+    "op10_token_shards": op10_token_shards,
 }
 
 OP4_SQL = r"""

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, simhash, tokens, toxicity
+from . import decontam, langid, mixing, mpegts, simhash, tokens, toxicity
 from .common import load
 
 
@@ -24,6 +24,11 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.train(docs))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, load(spark, sf_dir, "labels")))
@@ -34,6 +39,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_media_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpegts.to_media(load(spark, sf_dir, "documents"), with_media=False)
+
+
 def vocabulary_path() -> str:
     """The tokenizer file that op10 and the pipeline use; the operator takes any path."""
     import public_tokenizers
@@ -46,10 +55,12 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op3_toxicity": op3_toxicity,
     "op5_simhash": op5_simhash,
     "op4_decontamination": op4_decontamination,
     "op8_source_mixing": op8_source_mixing,
+    "op9_media_streams": op9_media_streams,
     "op10_token_shards": op10_token_shards,
 }
 

@@ -16,8 +16,6 @@ from allelix.llm.common import load, stored
 from allelix.llm.queries import vocabulary_path
 
 
-
-
 def _kept(docs: DataFrame, drop: DataFrame) -> DataFrame:
     """Documents whose id is not in ``drop`` (one column, doc_id); rows without an id stay."""
     return docs.join(drop.distinct(), "doc_id", "left_anti")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, mpegts, simhash, tokens, toxicity
+from . import decontam, langid, mixing, mpegts, secrets, simhash, tokens, toxicity
 from .common import load
 
 
@@ -19,6 +19,17 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = secrets.scan(load(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE))
+    return found.select(
+        "doc_id",
+        *(secrets.count_kind(F.col("spans"), k).alias(f"n_{k}") for k in secrets.BASE),
+        F.sha2(secrets.joined(base).cast("binary"), 256).alias("base_sha256"),
+        secrets.joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(load(spark, sf_dir, "documents"))
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -59,6 +70,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op5_simhash": op5_simhash,
     "op4_decontamination": op4_decontamination,
+    "op6_secrets": op6_secrets,
     "op8_source_mixing": op8_source_mixing,
     "op9_media_streams": op9_media_streams,
     "op10_token_shards": op10_token_shards,

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, mpegts, secrets, simhash, tokens, toxicity
+from . import decontam, htmltext, langid, mixing, mpegts, secrets, simhash, tokens, toxicity
 from .common import load
 
 
@@ -30,6 +30,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(load(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(load(spark, sf_dir, "documents"))
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -71,6 +75,7 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op4_decontamination": op4_decontamination,
     "op6_secrets": op6_secrets,
+    "op7_main_text": op7_main_text,
     "op8_source_mixing": op8_source_mixing,
     "op9_media_streams": op9_media_streams,
     "op10_token_shards": op10_token_shards,

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmltext, langid, mixing, mpegts, secrets, simhash, tokens, toxicity
+from . import decontam, htmltext, langid, mixing, mpegts, secrets, simhash, suffixes, tokens, toxicity
 from .common import load
 
 
@@ -44,6 +44,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.train(docs))
 
 
+def op2_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(load(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, load(spark, sf_dir, "labels")))
@@ -71,6 +75,7 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_repeated_strings": op2_repeated_strings,
     "op3_toxicity": op3_toxicity,
     "op5_simhash": op5_simhash,
     "op4_decontamination": op4_decontamination,

@@ -16,6 +16,8 @@ u32 expansion lengths of the rules; u16 symbols, or u32 where any is above 65535
 Encoding by words is exact for tokenizers whose pre-tokenizer parts at white space
 and drops it: each distinct word between ASCII white space, and each distinct
 piece of words, is encoded once for a worker, and texts are put together from ids.
+Pieces of plain words go to the tokenizer's model in its byte letters, other words
+through the whole tokenizer.
 
 Scale: one range shuffle puts texts in order; a task keeps one shard in memory.
 Only one row for each partition, its number of ids, reaches the driver.
@@ -31,6 +33,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +46,7 @@ from .common import ranges, stored, text_blocks
 
 END = 2
 SHARD_IDS = 1 << 20
+SLOT_BITS = 18
 ROUNDS, PAIRS_A_ROUND, MIN_COUNT = 3, 512, 16
 CACHE_WORDS = 400_000
 #: How the tokenizer parts words, as its file states.
@@ -52,6 +56,24 @@ MAGIC = b"RPG1"
 SHARDS = "part int, seq int, first long, start long, n_ids long, n_docs int, shard binary"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that a byte-level vocabulary writes for each byte: itself where it prints, else from U+0100 on."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(0x100 + k) for k, b in enumerate(rest)}
+
+
+BYTE_LETTERS = _byte_letters()
+_ENCODERS: dict[str, "WordEncoder"] = {}
+
+
+def encoder_of(path: str) -> "WordEncoder":
+    """The worker's encoder for a file; it keeps what it has learnt from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
 class _Numbers(dict):
     """Word to number; unknown words get the next number."""
 
@@ -79,11 +101,15 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self._clear()
+        self._clear_pieces()
 
     def _clear(self) -> None:
-        self.numbers, self.pieces = _Numbers(), _Numbers()
+        self.numbers = _Numbers()
         self.flat, self.first = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
-        self.piece_flat, self.piece_first = self.flat.copy(), self.first.copy()
+
+    def _clear_pieces(self) -> None:
+        self.pieces = _Numbers()
+        self.piece_flat, self.piece_first = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
 
     def _learn(self) -> None:
         new = self.numbers.new
@@ -94,8 +120,15 @@ class WordEncoder:
         number = self.pieces.__getitem__
         for w in new:
             word = w.decode("utf-8")
-            # Below U+0130 NFC changes nothing and lower() goes letter by letter, so the pattern gives the tokenizer's own pieces.
-            parts = PIECES.findall(word.lower()) if max(word) < "\u0130" and "<|" not in word else [word]
+            # Below U+0130 NFC changes nothing and lower() goes letter by letter, so these are the tokenizer's own pieces.
+            if not word.isascii() and max(word) >= "\u0130" or "<|" in word:
+                parts = [(word,)]
+            elif word.isalpha():
+                parts = [word.lower()]
+            elif word[:-1].isalpha():
+                parts = [word[:-1].lower(), word[-1]]
+            else:
+                parts = PIECES.findall(word.lower())
             piece += map(number, parts)
             count.append(len(parts))
         self._learn_pieces()
@@ -115,23 +148,28 @@ class WordEncoder:
     def _learn_pieces(self) -> None:
         new = self.pieces.new
         at = len(self.pieces) - len(new)
+        tokenize = self.tokenizer.model.tokenize
+        got = [
+            [t.id for t in tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(BYTE_LETTERS))]
+            if type(p) is str
+            else self.tokenizer.encode(p[0], add_special_tokens=False).ids
+            for p in new
+        ]
+        end = self.piece_first[at]
+        run = np.cumsum(np.fromiter(map(len, got), np.int64, len(got)))
         self.piece_first = _room(self.piece_first, len(self.pieces) + 1)
-        for a in range(0, len(new), JOINED):  # one call for many pieces; offsets say which piece an id belongs to
-            some = new[a : a + JOINED]
-            got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            starts = np.cumsum([0, *(len(w) + 1 for w in some)])
-            where = np.fromiter((x for x, _ in got.offsets), np.int64, len(got.ids))
-            size = np.bincount(np.searchsorted(starts, where, "right") - 1, minlength=len(some))
-            end = self.piece_first[at + a]
-            self.piece_flat = _room(self.piece_flat, end + len(got.ids))
-            self.piece_flat[end : end + len(got.ids)] = got.ids
-            self.piece_first[at + a + 1 : at + a + 1 + len(some)] = end + np.cumsum(size)
+        self.piece_first[at + 1 : at + 1 + len(new)] = end + run
+        total = int(run[-1]) if len(run) else 0
+        self.piece_flat = _room(self.piece_flat, end + total)
+        self.piece_flat[end : end + total] = np.fromiter(chain.from_iterable(got), np.uint32, total)
         self.pieces.new = []
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts with an end id after each, number of ids of each text)."""
         if len(self.numbers) > CACHE_WORDS:
             self._clear()
+        if len(self.pieces) > CACHE_WORDS:
+            self._clear_pieces()
         body = data.tobytes()
         numbers, count = [], []
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
@@ -158,41 +196,51 @@ def repair(ids: np.ndarray, terminals: int, end: int, rounds: int = ROUNDS, pair
     """(symbols, rules): rule r stands for its pair and has symbol terminals + r; the symbol ``end`` is in no pair."""
     # A pair is one 32-bit code where all symbols fit 16 bits, else one 64-bit code.
     narrow = terminals + rounds * pairs <= 1 << 16
-    kind, half, factor, shift = (np.uint32, 16, 0x9E3779B1, 12) if narrow else (np.uint64, 32, 0x9E3779B97F4A7C15, 44)
-    seq, rules, low = ids.astype(kind), [], (1 << half) - 1
+    kind, half, factor, shift = (np.uint32, 16, 0x9E3779B1, 32 - SLOT_BITS) if narrow else (np.uint64, 32, 0x9E3779B97F4A7C15, 64 - SLOT_BITS)
+    seq, rules, low, void = ids.astype(kind), [], (1 << half) - 1, 1 << SLOT_BITS
     for _ in range(rounds):
         if len(seq) < 2:
             break
         a, b = seq[:-1], seq[1:]
         code = a << kind(half) | b
-        slot = (code * kind(factor)) >> kind(shift)
-        slot[(a == end) | (b == end) | (a == b)] = 1 << 20
-        heat = np.bincount(slot.view(np.int32 if narrow else np.int64), minlength=(1 << 20) + 1)
-        heat[1 << 20] = 0
+        slot = ((code * kind(factor)) >> kind(shift)).view(np.int32 if narrow else np.int64)
+        ends = np.flatnonzero(seq == end)
+        slot[ends[ends < len(slot)]] = void
+        slot[ends[ends > 0] - 1] = void
+        slot[a == b] = void
+        heat = np.bincount(slot, minlength=void + 1)
+        heat[void] = 0
         bar = max(min_count, int(np.partition(heat, -2 * pairs)[-2 * pairs]))
         at = np.flatnonzero((heat >= bar)[slot])
         if not len(at):
             break
-        found, count = np.unique(code[at], return_counts=True)
+        code, slot = code[at], slot[at]
+        found, count = np.unique(code, return_counts=True)
+        found, count = found[count >= min_count], count[count >= min_count]
         lefts, rights, taken = set(), set(), []
         for k in np.lexsort((found, -count)).tolist():
-            a, b = int(found[k]) >> half, int(found[k]) & low
-            if count[k] < min_count or len(taken) == pairs:
+            x, y = int(found[k]) >> half, int(found[k]) & low
+            if len(taken) == pairs:
                 break
-            if a not in rights and b not in lefts:
-                lefts.add(a)
-                rights.add(b)
-                taken.append((int(found[k]), a, b))
-        if not taken:
+            if x not in rights and y not in lefts:
+                lefts.add(x)
+                rights.add(y)
+                taken.append(found[k])
+        # One pair for each slot of the table, so that a table finds a position's pair; another of the slot waits for the next round.
+        taken = np.array(taken, kind)
+        where = (taken * kind(factor)) >> kind(shift)
+        _, best = np.unique(where, return_index=True)
+        taken, where = taken[np.sort(best)], where[np.sort(best)].astype(np.int64)
+        if not len(taken):
             break
-        first = terminals + len(rules)
-        rules += [(a, b) for _, a, b in taken]
-        codes = np.array([c for c, _, _ in taken], kind)
-        order = np.argsort(codes)
-        k = np.minimum(np.searchsorted(codes[order], code[at]), len(codes) - 1)
-        good = codes[order][k] == code[at]
-        at, k = at[good], k[good]
-        seq[at] = (first + order[k]).astype(kind)
+        wanted = np.full(void + 1, np.iinfo(kind).max, kind)
+        symbol = np.zeros(void + 1, kind)
+        wanted[where] = taken
+        symbol[where] = (terminals + len(rules) + np.arange(len(taken))).astype(kind)
+        rules += [(int(c) >> half, int(c) & low) for c in taken]
+        good = wanted[slot] == code
+        at = at[good]
+        seq[at] = symbol[slot[good]]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq[keep]
@@ -274,7 +322,7 @@ class Shard:
 
 def _encode(path: str, shard_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder = encoder_of(path)
         vocabulary = encoder.tokenizer.get_vocab_size()
         part, seq, start = TaskContext.get().partitionId(), 0, 0
         doc_ids: list[int | None] = []

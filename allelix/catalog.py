@@ -1,6 +1,8 @@
-"""All registered queries of the engine and their SQL, gathered from the operator modules."""
+"""All registered queries of the engine and their SQL, gathered from the plan modules."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import core  # noqa: F401
+from .plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

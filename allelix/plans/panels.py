@@ -114,7 +114,7 @@ def king_pairs(spark, d):
 @query("king_unrelated")
 def king_unrelated(spark, d):
     """Samples removed so that no pair left is related; the graph has a vertex for each sample."""
-    edges = ld.king(view(spark, d, "geno")).filter("kinship >= -0.25 and shared >= 10").select("i", "j").collect()
+    edges = ld.king(view(spark, d, "geno")).filter("kinship >= -0.6 and shared >= 10").select("i", "j").collect()
     gone = ld.unrelated([(r["i"], r["j"]) for r in edges])
     return spark.createDataFrame([(x,) for x in gone], "sample_id long")
 

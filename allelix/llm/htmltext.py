@@ -18,8 +18,9 @@ numbers, so a host with a third of all pages is spread over all tasks.  Only the
 sizes of range partitions reach the driver.
 
 Defined results: null or empty html has an empty text; a null url is a host and
-path of its own; the only page of a host has nothing deleted; repeated rows share
-their result, and each gives a row; other columns are ignored.
+path of its own; the only page of a host has nothing deleted, and copies are not
+paired with each other; repeated rows share their result, and each gives a row;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -224,8 +225,9 @@ def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys, out = [], []
         for r in batch.to_pylist():
-            before = r["path_before"] if r["host_before"] == r["host"] else None
-            after = r["path_after"] if r["host_after"] == r["host"] else None
+            # A copy of the page tells menus from content no better than the page itself.
+            before = r["path_before"] if r["host_before"] == r["host"] and r["hashes_before"] != r["hashes"] else None
+            after = r["path_after"] if r["host_after"] == r["host"] and r["hashes_after"] != r["hashes"] else None
             if before is None and after is None:
                 continue
             near = r["hashes_before"]

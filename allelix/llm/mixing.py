@@ -28,6 +28,8 @@ from .common import stored
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEAT = 3
 SEED = 42
+#: A pattern is done when what it still lacks is below this share of what it gives.
+NEAR = 0.001
 #: Patterns and sources live on the driver; more than this is an error, not a cut.
 MAX_PATTERNS = 200_000
 BIN_BITS, HASH_BITS, SMALL_BIN = 10, 60, 50_000
@@ -200,7 +202,8 @@ def mix_sources(
     ``members_col`` names an array of sources where documents belong to several;
     without it, each belongs to its ``source``.  ``taken`` is the document's size
     times how often the mix uses it, at most ``repeat`` times.  After the cut in
-    seeded order, ``fill_passes`` further cuts among smaller documents close the gap.
+    seeded order, ``fill_passes`` further cuts among smaller documents close the gap,
+    and then the same among documents already in use, up to ``repeat`` times.
     """
     spark = docs.sparkSession
     members = F.array_sort(F.array_distinct(members_col)) if members_col else F.array(F.col("source").cast("string"))
@@ -223,24 +226,27 @@ def mix_sources(
     ]
     plan = spark.createDataFrame(table, "key string, pattern int, whole long, source_size long, target double")
     key = F.array_join("members", SEPARATOR, NULL_MARK)
-    rows = base.withColumn("key", key).join(F.broadcast(plan), "key").drop("key", "members").withColumn("chosen", F.lit(False))
+    rows = base.withColumn("key", key).join(F.broadcast(plan), "key").drop("key", "members").withColumn("extra", F.lit(0))
     left = {number[p]: given[p] - (given[p] // w) * w for p, w in patterns.items() if w and given[p] % w}
-    for _ in range(1 + fill_passes):
-        left = {p: n for p, n in left.items() if n > 0}
-        if not left:
-            break
-        gaps = F.broadcast(spark.createDataFrame(list(left.items()), "pattern int, gap long"))
-        usable = rows.filter("size > 0 and not chosen").join(gaps, "pattern").filter("size <= gap").drop("gap")
-        marks = [(p, left[p], h, None if i is None else int(i), z) for p, (h, i, z) in _cuts(usable, left).items()]
-        marks = spark.createDataFrame(marks, "pattern int, gap long, ch long, cid long, cz long")
-        hit = F.coalesce((F.col("size") <= F.col("gap")) & _before(F.col("ch"), F.col("cid"), F.col("cz")), F.lit(False))
-        marked = rows.join(F.broadcast(marks), "pattern", "left").withColumn("hit", hit & ~F.col("chosen"))
-        for r in marked.filter("hit").groupBy("pattern").agg(F.sum("size").alias("w")).collect():
-            left[r["pattern"]] -= r["w"]
-        rows = marked.withColumn("chosen", F.col("chosen") | F.col("hit")).drop("gap", "ch", "cid", "cz", "hit")
+    asked = {number[p]: given[p] for p in patterns}
+    for use in range(repeat):  # documents not chosen yet come first; where those left are too long, chosen ones are used again
+        for _ in range(1 + fill_passes if use == 0 else fill_passes):
+            left = {p: n for p, n in left.items() if n > max(0, NEAR * asked[p])}
+            if not left:
+                break
+            gaps = F.broadcast(spark.createDataFrame(list(left.items()), "pattern int, gap long"))
+            free = (F.col("extra") == use) & (F.col("whole") + F.col("extra") < repeat)
+            usable = rows.filter((F.col("size") > 0) & free).join(gaps, "pattern").filter("size <= gap").drop("gap")
+            marks = [(p, left[p], h, None if i is None else int(i), z) for p, (h, i, z) in _cuts(usable, left).items()]
+            marks = spark.createDataFrame(marks, "pattern int, gap long, ch long, cid long, cz long")
+            hit = F.coalesce(free & (F.col("size") <= F.col("gap")) & _before(F.col("ch"), F.col("cid"), F.col("cz")), F.lit(False))
+            marked = rows.join(F.broadcast(marks), "pattern", "left").withColumn("hit", hit)
+            for r in marked.filter("hit").groupBy("pattern").agg(F.sum("size").alias("w")).collect():
+                left[r["pattern"]] -= r["w"]
+            rows = marked.withColumn("extra", F.col("extra") + F.col("hit").cast("int")).drop("gap", "ch", "cid", "cz", "hit")
     return rows.select(
         "id", "source", "size", "source_size", "target",
-        (F.col("size") * (F.col("whole") + F.col("chosen").cast("int"))).cast("long").alias("taken"),
+        (F.col("size") * (F.col("whole") + F.col("extra"))).cast("long").alias("taken"),
     )
 
 

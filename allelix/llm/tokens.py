@@ -150,7 +150,7 @@ class WordEncoder:
         at = len(self.pieces) - len(new)
         tokenize = self.tokenizer.model.tokenize
         got = [
-            [t.id for t in tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(BYTE_LETTERS))]
+            [t.id for t in tokenize(p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(BYTE_LETTERS))]
             if type(p) is str
             else self.tokenizer.encode(p[0], add_special_tokens=False).ids
             for p in new

@@ -45,16 +45,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Roller, drop_path, stored, table_path, text_blocks
+from .common import Roller, drop_path, give_back, stored, table_path, text_blocks
 
 LENGTH = 200
 PERIOD = 133
 #: A perfect difference set: every difference modulo 133 but 0 occurs exactly once.
 COVER = (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109)
 SHORT, LONG = LENGTH - PERIOD + 1, LENGTH + PERIOD - 1
-UNIT = 4 << 20
+UNIT = 1 << 20
 #: Names sorted in one bucket, about.
-BUCKET_NAMES = 1 << 20
+BUCKET_NAMES = 1 << 19
 TRUNCATED = np.uint64(0xA0761D6478BD642F)
 UNITS = "unit long, n_bytes long, ids array<long>, offsets binary, body binary"
 NAMES = "bucket int, unit long, names binary"
@@ -192,6 +192,8 @@ def _send(step: int, bits: list[int]):
                     [pa.array([b for b, _ in sent], pa.int32()), pa.array([row["unit"].as_py()] * len(sent), pa.int64()), pa.array([p for _, p in sent], pa.binary())],
                     ["bucket", "unit", "names"],
                 )
+                del unit, names, sent
+            give_back()
 
     return run
 
@@ -235,6 +237,8 @@ def _sort_buckets(keep: int):
                 rows.append((u, p))
         if rows:
             yield answer(bucket, rows)
+        rows = None
+        give_back()
 
     return run
 
@@ -263,6 +267,8 @@ def _finish(bits: list[int], with_kept: bool):
                 if with_kept:
                     columns, names = [*columns, pa.array(kept, pa.binary())], [*names, "kept"]
                 yield pa.RecordBatch.from_arrays(columns, names)
+                del unit, gone, before, kept, body, columns
+            give_back()
 
     return run
 

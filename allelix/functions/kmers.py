@@ -36,9 +36,15 @@ def windows_of(text: Column, k: int) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(text, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores, where the input is in fewer parts: what follows makes many rows of each."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def count_kmers(reads: DataFrame, sequence: str, k: int, *by: str) -> DataFrame:
     """Canonical k-mers of A, C, G and T with their counts; other letters part a read."""
-    runs = reads.select(*by, F.explode(F.split(F.upper(F.col(sequence)), "[^ACGT]+")).alias("_run"))
+    runs = spread(reads).select(*by, F.explode(F.split(F.upper(F.col(sequence)), "[^ACGT]+")).alias("_run"))
     all_of = runs.select(*by, F.explode(windows_of(F.col("_run"), k)).alias("_w"))
     return all_of.groupBy(*by, canonical(F.col("_w")).alias("kmer")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -321,3 +321,42 @@ def test_streaming_upsert_and_windows(spark, tmp_path):
     q.awaitTermination(120)
     last = max(int(p.name) for p in (tmp_path / "out").iterdir())
     assert sorted(r["event_id"] for r in spark.read.parquet(str(tmp_path / f"out/{last}")).collect()) == [27, 28, 29]
+
+
+def test_further_models(spark):
+    from allelix.models import extra
+
+    g, y = _panel(2, 80, 120)
+    z = g - g.mean(0)
+    k = z @ z.T / z.shape[1]
+    full, thin = mixed.Spectrum(k, y), extra.low_rank(z, y)
+    assert thin.log10_lambda == pytest.approx(full.log10_lambda, abs=1e-2) and np.allclose(np.sort(thin.s), np.sort(full.s), atol=1e-8)
+    rows = spark.createDataFrame([(j, [float(x) for x in g[:, j]]) for j in range(30)], "site_id long, g array<double>")
+    dense = {r["site_id"]: r["p"] for r in mixed.scan(rows, full, "fvlmm").collect()}
+    sparse = {r["site_id"]: r["p"] for r in extra.sparse_scan(rows, k, y, -10.0, 30).collect()}
+    a, b = np.log([dense[j] for j in range(30)]), np.log([sparse[j] for j in range(30)])
+    assert np.corrcoef(a, b)[0, 1] > 0.95
+    q = np.linalg.qr(np.random.default_rng(0).normal(size=(50, 5)))[0] * math.sqrt(50)
+    t = np.random.default_rng(1).normal(size=50)
+    want = np.sign(q.T @ t / 50) * np.maximum(np.abs(q.T @ t / 50) - 0.05, 0)
+    assert extra.lasso_path(q, t, np.array([0.05]))[0] == pytest.approx(want, abs=1e-6)
+    assert 7 in extra.adaptive_lasso(g, 2 * g[:, 7] + np.random.default_rng(5).normal(size=80))
+    assert extra.studentised_range_sf(3.877676, 3, 10) == pytest.approx(0.05, abs=2e-4)
+    assert extra.tukey_letters(["a", "b", "c"], [1.0, 1.1, 9.0], [10, 10, 10], 1.0, 27) == {"a": "b", "b": "b", "c": "a"}
+    sites = spark.createDataFrame([(j, "1", j * 1000) for j in range(30)], "site_id long, chrom string, pos long")
+    got = {r["site_id"]: r["beta"] for r in extra.context_scan(rows, sites, y, {5: ("1", 5000), 20: ("1", 20000)}, 1500).collect()}
+    x = np.column_stack([np.ones(80), g[:, 20], g[:, 6]])
+    assert got[6] == pytest.approx(np.linalg.lstsq(x, y, rcond=None)[0][-1]) and len(got) == 30
+
+
+def test_analysis_objects(spark):
+    from allelix.api import Association, Prediction
+
+    g, y = _panel(4, 40, 30)
+    geno = spark.createDataFrame([(j, i, int(g[i, j])) for i in range(40) for j in range(30)], "site_id long, sample_id long, g int")
+    pheno = spark.createDataFrame([(i, float(y[i])) for i in range(40)], "sample_id long, y double")
+    sites = spark.createDataFrame([(j, "1", j * 1000) for j in range(30)], "site_id long, chrom string, pos long")
+    for model in ("lm", "fvlmm", "farmcpu"):
+        assert Association(geno, pheno, sites).scan(model).count() == 30
+    p = Prediction(geno, pheno).fit()
+    assert len(p.cross_validate(4)) == 4 and p.components(3)[0].shape == (40, 3)

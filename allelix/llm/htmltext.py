@@ -281,5 +281,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) of every page."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("url"), F.col("html").alias("html"))
     keyed = rows.withColumn("key", F.xxhash64("page_id", "url", "html"))
-    joined = keyed.join(shared_lines(keyed), "key", "left").select("page_id", "url", "html", "gone")
+    # Written first, so that its size is known when the join is planned: pages are only moved if it is large.
+    gone = stored(pages.sparkSession, shared_lines(keyed), "gone")
+    joined = keyed.join(gone, "key", "left").select("page_id", "url", "html", "gone")
     return joined.mapInArrow(_texts, "page_id long, url string, text string")

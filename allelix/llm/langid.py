@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, text_blocks
+from .common import held_out, ranges, text_blocks
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -37,6 +37,8 @@ SAMPLE = 400
 WINDOWS_EACH = 3
 EPOCHS, BATCH, RATE = 8, 64, 0.02
 UNKNOWN = "und"
+#: Windows scored at a time.
+SLICE = 256
 MAX_LANGUAGES = 1000
 
 
@@ -56,18 +58,20 @@ def fold_table() -> np.ndarray:
 FOLD = fold_table()
 
 
-def windows_of(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(classes of each window with one padding class after it, text of each window)."""
-    size = np.diff(offsets)
-    count = -(-size // window)
-    text = np.repeat(np.arange(len(size)), count)
-    k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    start = offsets[:-1][text] + k * window
+def window_starts(offsets: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, text) of every window of every text, in order."""
+    count = -(-np.diff(offsets) // window)
+    text = np.repeat(np.arange(len(count)), count)
+    return offsets[:-1][text] + ranges(count) * window, text
+
+
+def window_classes(data: np.ndarray, start: np.ndarray, end: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Byte classes of windows, padded with class 0 from the end of the text on."""
     at = start[:, None] + np.arange(window)
-    inside = at < offsets[1:][text][:, None]
-    classes = FOLD[data[np.minimum(at, max(len(data) - 1, 0))]] if len(data) else np.zeros(at.shape, np.uint8)
+    inside = at < end[:, None]
+    classes = FOLD[data[np.minimum(at, max(len(data) - 1, 0))]]
     classes[~inside] = 0
-    return classes, text
+    return classes
 
 
 class Network:
@@ -192,10 +196,11 @@ def predict(docs: DataFrame, net: Network) -> DataFrame:
             for lo, hi, data, offsets in text_blocks(batch.column(1)):
                 n = hi - lo
                 total = np.zeros((n, max(len(net.languages), 1)))
-                x, text = windows_of(data, offsets)
-                for a in range(0, len(x), 256):
-                    if net.languages:
-                        np.add.at(total, text[a : a + 256], net.logits(_pooled(tables, x[a : a + 256])))
+                start, text = window_starts(offsets)
+                for a in range(0, len(text) if net.languages else 0, SLICE):
+                    some = text[a : a + SLICE]
+                    x = window_classes(data, start[a : a + SLICE], offsets[1:][some])
+                    np.add.at(total, some, net.logits(_pooled(tables, x)))
                 count = np.bincount(text, minlength=n)
                 mean = total / np.maximum(count, 1)[:, None]
                 best = mean.argmax(1)

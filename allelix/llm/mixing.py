@@ -35,11 +35,9 @@ MAX_PATTERNS = 200_000
 BIN_BITS, HASH_BITS, SMALL_BIN = 10, 60, 50_000
 
 
-SEPARATOR, NULL_MARK = "\x1f", "\x1e"
-
-
 def _key(members: tuple) -> str:
-    return SEPARATOR.join(NULL_MARK if m is None else m for m in members)
+    """A name of the pattern that no other pattern has: its sources in hexadecimal, null as a dash."""
+    return ",".join("-" if m is None else m.encode().hex().upper() for m in members)
 
 
 def quotas(sizes: dict, weights: tuple[float, ...] = WEIGHTS, repeat: int = MAX_REPEAT) -> dict:
@@ -225,7 +223,7 @@ def mix_sources(
         for p, w in patterns.items()
     ]
     plan = spark.createDataFrame(table, "key string, pattern int, whole long, source_size long, target double")
-    key = F.array_join("members", SEPARATOR, NULL_MARK)
+    key = F.array_join(F.transform("members", lambda m: F.coalesce(F.hex(F.encode(m, "utf-8")), F.lit("-"))), ",")
     rows = base.withColumn("key", key).join(F.broadcast(plan), "key").drop("key", "members").withColumn("extra", F.lit(0))
     left = {number[p]: given[p] - (given[p] // w) * w for p, w in patterns.items() if w and given[p] % w}
     asked = {number[p]: given[p] for p in patterns}

@@ -360,3 +360,45 @@ def test_analysis_objects(spark):
         assert Association(geno, pheno, sites).scan(model).count() == 30
     p = Prediction(geno, pheno).fit()
     assert len(p.cross_validate(4)) == 4 and p.components(3)[0].shape == (40, 3)
+
+
+def test_bit_files(spark, tmp_path):
+    from allelix.sources import bits
+
+    rows = spark.createDataFrame([(0, [0, 9]), (1, []), (2, [3, 4, 10])], "row long, samples array<long>")
+    (tmp_path / "m.bin").write_bytes(bits.bit_matrix_bytes(rows, 11))
+    assert sorted((r["row"], r["samples"]) for r in bits.read_bit_matrix(spark, str(tmp_path / "m.bin"), 2).collect()) == [(0, [0, 9]), (1, []), (2, [3, 4, 10])]
+    (tmp_path / "s.site").write_bytes(bits.kmer_sites_bytes(["ACGTT", "GGA", "CATG"]))
+    assert [r["kmer"] for r in bits.read_kmer_sites(spark, str(tmp_path / "s.site")).orderBy("row").collect()] == ["ACGTT", "GGA", "CATG"]
+    sets = spark.createDataFrame([(27, [1]), (5, [0, 2])], "code long, samples array<long>")
+    a, b = bits.kmer_matrix_bytes(sets, 5, 3)
+    assert len(a) == 64 + 16 and len(b) == 80 + 2
+    (tmp_path / "k").write_bytes(a)
+    (tmp_path / "p").write_bytes(b)
+    assert sorted((r["code"], r["samples"]) for r in bits.read_kmer_matrix(spark, str(tmp_path / "k"), str(tmp_path / "p")).collect()) == [(5, [0, 2]), (27, [1])]
+    with pytest.raises(Exception, match="not a bit matrix"):
+        bits.read_bit_matrix(spark, str(tmp_path / "k")).collect()
+
+
+def test_trees_and_support_vectors():
+    from allelix.models import learners, trees
+
+    d = np.array([[0, 5, 9, 9, 8], [5, 0, 10, 10, 9], [9, 10, 0, 8, 7], [9, 10, 8, 0, 3], [8, 9, 7, 3, 0]], float)
+    t = trees.bionj(d, list("abcde"))
+    got = {n.name: n.length for n in t.walk() if n.name}
+    assert got["a"] == pytest.approx(2) and got["b"] == pytest.approx(3) and got["e"] == pytest.approx(1)
+    rng = np.random.default_rng(0)
+    mutate = lambda s, p: "".join(rng.choice(list("ACGT")) if rng.random() < p else c for c in s)
+    root = "".join(rng.choice(list("ACGT"), 300))
+    x, y = mutate(root, 0.25), mutate(root, 0.25)
+    seqs = {"a": mutate(x, 0.05), "b": mutate(x, 0.05), "c": mutate(y, 0.05), "d": mutate(y, 0.05), "e": mutate(y, 0.3) + ""}
+    seqs["e"] = seqs["e"][:299] + "N"
+    tree, ll = trees.maximum_likelihood(seqs, 2)
+    assert np.isfinite(ll) and sorted(n.name for n in tree.walk() if n.name) == list("abcde")
+    pairs = [sorted(c.name for c in n.children if c.name) for n in tree.walk() if n.children]
+    assert ["a", "b"] in pairs or ["c", "d", "e"] in pairs
+    g, p = _panel(8, 80, 100, 0.9)
+    z = (g - g.mean(0)) / 10
+    k = z @ z.T
+    b = learners.support_vector_regression(k[:60, :60], p[:60] - p[:60].mean(), 1.0, 0.1)
+    assert (np.abs(b) <= 1).all() and np.corrcoef(k[60:, :60] @ b, p[60:])[0, 1] > 0.2

@@ -15,7 +15,7 @@ u32 expansion lengths of the rules; u16 symbols, or u32 where any is above 65535
 
 Encoding by words is exact for tokenizers whose pre-tokenizer parts at white space
 and drops it: each distinct word between ASCII white space, and each distinct
-piece of words, is encoded once for a worker, and texts are put together from ids.
+piece of words, is encoded once while a worker keeps it, and texts are put together from ids.
 Pieces of plain words go to the tokenizer's model in its byte letters, other words
 through the whole tokenizer.
 
@@ -42,15 +42,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ranges, stored, text_blocks
+from .common import give_back, ranges, stored, text_blocks
 
 END = 2
 SHARD_IDS = 1 << 20
 SLOT_BITS = 18
 ROUNDS, PAIRS_A_ROUND, MIN_COUNT = 3, 512, 16
 CACHE_WORDS = 400_000
-#: How the tokenizer parts words, as its file states.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: How the tokenizer parts words, as its file states; and the ends of words.
+PIECES = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 JOINED = 500
 MAGIC = b"RPG1"
 SHARDS = "part int, seq int, first long, start long, n_ids long, n_docs int, shard binary"
@@ -68,7 +68,7 @@ _ENCODERS: dict[str, "WordEncoder"] = {}
 
 
 def encoder_of(path: str) -> "WordEncoder":
-    """The worker's encoder for a file; it keeps what it has learnt from task to task."""
+    """The worker's encoder for a file; it keeps the words that it meets often from task to task."""
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
@@ -93,7 +93,7 @@ def _room(a: np.ndarray, n: int) -> np.ndarray:
 
 
 class WordEncoder:
-    """Encodes texts by way of their distinct words; at most ``CACHE_WORDS`` and a block's words are kept."""
+    """Encodes texts by way of their distinct words; ``CACHE_WORDS`` words at most are known, and those of a block."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -106,9 +106,26 @@ class WordEncoder:
     def _clear(self) -> None:
         self.numbers = _Numbers()
         self.flat, self.first = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
+        self.uses = np.zeros(1 << 14, np.int32)
+
+    def _evict(self) -> None:
+        """Keep the words that were met again since the last time, at most half of the room; most words never are."""
+        uses = self.uses[: len(self.numbers)]
+        bar = 2
+        while np.count_nonzero(uses >= bar) > CACHE_WORDS // 2:
+            bar *= 2
+        keep = np.flatnonzero(uses >= bar)
+        words = list(self.numbers)
+        lo = self.first[keep]
+        size = self.first[keep + 1] - lo
+        flat = self.flat[np.repeat(lo, size) + ranges(size)]
+        self._clear()
+        self.numbers.update((words[k], n) for n, k in enumerate(keep.tolist()))
+        self.flat, self.first = _room(flat, 1), np.concatenate([[0], np.cumsum(size)])
 
     def _clear_pieces(self) -> None:
         self.pieces = _Numbers()
+        self.pieces["\n"]  # number 0, a piece of no ids' use
         self.piece_flat, self.piece_first = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
 
     def _learn(self) -> None:
@@ -116,28 +133,26 @@ class WordEncoder:
         if not new:
             return
         have = len(self.numbers) - len(new)
-        piece, count = [], []
+        # Below U+0130 NFC changes nothing and lower() goes letter by letter, so the pattern gives the tokenizer's own pieces.
+        words = b"\n".join(new).decode("utf-8").split("\n")
+        plain = [w.isascii() or max(w) < "\u0130" for w in words]
+        odd = [k for k, ok in enumerate(plain) if not ok or "<|" in words[k]]
         number = self.pieces.__getitem__
-        for w in new:
-            word = w.decode("utf-8")
-            # Below U+0130 NFC changes nothing and lower() goes letter by letter, so these are the tokenizer's own pieces.
-            if not word.isascii() and max(word) >= "\u0130" or "<|" in word:
-                parts = [(word,)]
-            elif word.isalpha():
-                parts = [word.lower()]
-            elif word[:-1].isalpha():
-                parts = [word[:-1].lower(), word[-1]]
-            else:
-                parts = PIECES.findall(word.lower())
-            piece += map(number, parts)
-            count.append(len(parts))
+        whole = {k: number((words[k],)) for k in odd}
+        for k in odd:
+            words[k] = "a"  # a piece in its place, replaced below
+        parts = PIECES.findall("\n".join(words).lower())
+        piece = np.fromiter(map(number, parts), np.int64, len(parts))
+        ends = np.flatnonzero(piece == number("\n"))
+        edge = np.concatenate([ends - np.arange(len(ends)), [len(parts) - len(ends)]])  # pieces up to the end of each word
+        piece = np.delete(piece, ends)
+        for k, n in whole.items():
+            piece[edge[k] - 1] = n
         self._learn_pieces()
-        piece = np.array(piece, np.int64)
         lo = self.piece_first[piece]
         size = self.piece_first[piece + 1] - lo
         flat = self.piece_flat[np.repeat(lo, size) + ranges(size)]
         run = np.concatenate([[0], np.cumsum(size)])
-        edge = np.cumsum(count)
         end = self.first[have]
         self.first = _room(self.first, len(self.numbers) + 1)
         self.flat = _room(self.flat, end + len(flat))
@@ -167,7 +182,7 @@ class WordEncoder:
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts with an end id after each, number of ids of each text)."""
         if len(self.numbers) > CACHE_WORDS:
-            self._clear()
+            self._evict()
         if len(self.pieces) > CACHE_WORDS:
             self._clear_pieces()
         body = data.tobytes()
@@ -178,6 +193,8 @@ class WordEncoder:
             count.append(len(words))
         self._learn()
         word = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
+        self.uses = _room(self.uses, len(self.numbers))
+        self.uses[: len(self.numbers)] += np.bincount(word, minlength=len(self.numbers)).astype(np.int32)
         lo = self.first[word]
         size = self.first[word + 1] - lo
         run = np.concatenate([[0], np.cumsum(size)])
@@ -350,6 +367,7 @@ def _encode(path: str, shard_ids: int):
                     doc_ids, ids, sizes = [], [], []
         if doc_ids:
             yield shard()
+        give_back()
 
     return run
 

@@ -1,6 +1,6 @@
 """Operator 3: toxicity by a factorization machine over hashed terms.
 
-Terms are 64-bit hashes of lower-cased words and of the first bytes of longer
+Terms are 32-bit hashes of lower-cased words and of the first bytes of longer
 words, present or not.  Weights for single terms and factors for pairs are
 learnt together, so that a pair (an insult with the mention of a group) can
 weigh more, or less, than its parts.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import ALNUM, LOWER, Roller, held_out, text_blocks, word_spans
 
-SAMPLE = 4000
+SAMPLE = 3000
 TERMS = 1024
 FACTORS = 6
 PREFIX_BYTES = (4, 5)
@@ -35,7 +35,7 @@ STEPS, RATE, DECAY = 150, 0.1, 2e-4
 
 
 def block_terms(data: np.ndarray, offsets: np.ndarray, roller: Roller) -> tuple[np.ndarray, np.ndarray]:
-    """(text, term hash) of every word and word beginning of a block."""
+    """(text, 32-bit term hash) of every word and word beginning of a block."""
     data = data.copy()
     data[1:][(data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E)] += 32  # capital letters of Latin-1, in UTF-8
     s, e, first = word_spans(data, offsets, ALNUM)
@@ -46,18 +46,18 @@ def block_terms(data: np.ndarray, offsets: np.ndarray, roller: Roller) -> tuple[
         long = e - s > k
         texts.append(text[long])
         terms.append(roller.spans(prefix, s[long], s[long] + k) ^ np.uint64(0x5851F42D4C957F2D))
-    return np.concatenate(texts), np.concatenate(terms)
+    return np.concatenate(texts), (np.concatenate(terms) >> np.uint64(32)).astype(np.uint32)
 
 
 def term_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, text) to (label, distinct terms as little-endian 64-bit values)."""
+    """(label, text) to (label, distinct terms as little-endian 32-bit values)."""
     roller = Roller(fold=LOWER)
     for batch in batches:
         for lo, hi, data, offsets in text_blocks(batch.column(1)):
             text, term = block_terms(data, offsets, roller)
             cuts = np.searchsorted(np.sort(text, kind="stable"), np.arange(hi - lo + 1))
             term = term[np.argsort(text, kind="stable")]
-            sets = [np.unique(term[a:b]).astype("<u8").tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+            sets = [np.unique(term[a:b]).astype("<u4").tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sets, pa.binary())], ["label", "terms"])
 
 
@@ -72,8 +72,8 @@ class Model:
         raw = np.full(n, self.bias)
         if len(self.terms):
             sieve = np.zeros(1 << 18, bool)
-            sieve[(self.terms >> np.uint64(46)).astype(np.int64)] = True
-            near = np.flatnonzero(sieve[(term >> np.uint64(46)).astype(np.int64)])
+            sieve[(self.terms >> np.uint32(14)).astype(np.int64)] = True
+            near = np.flatnonzero(sieve[(term >> np.uint32(14)).astype(np.int64)])
             at = np.minimum(np.searchsorted(self.terms, term[near]), len(self.terms) - 1)
             good = self.terms[at] == term[near]
             pairs = np.unique(text[near[good]] * len(self.terms) + at[good])
@@ -91,11 +91,11 @@ def fit(labels: np.ndarray, sets: list[np.ndarray], totals: tuple[int, int], see
     if not totals[0] or not totals[1] or len(set(labels.tolist())) < 2:
         share = totals[1] / max(1, sum(totals))
         share = min(max(share, 1e-9), 1 - 1e-9)
-        return Model(float(np.log(share / (1 - share))), np.zeros(0, np.uint64), np.zeros(0), np.zeros((0, FACTORS)))
+        return Model(float(np.log(share / (1 - share))), np.zeros(0, np.uint32), np.zeros(0), np.zeros((0, FACTORS)))
     weight = np.where(labels == 1, totals[1] / max(1, (labels == 1).sum()), totals[0] / max(1, (labels == 0).sum()))
     weight = weight / weight.sum()
     vocab, term = np.unique(np.concatenate(sets), return_inverse=True)
-    doc = np.repeat(np.arange(n), [len(s) for s in sets])
+    term, doc = term.astype(np.int32), np.repeat(np.arange(n, dtype=np.int32), [len(s) for s in sets])
     df1 = np.bincount(term[labels[doc] == 1], minlength=len(vocab)).astype(float)
     df = np.bincount(term, minlength=len(vocab)).astype(float)
     n1 = float(labels.sum())
@@ -141,8 +141,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 * sample rows
     texts = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("body")).join(chosen, "id")
     rows = texts.select("label", "body").mapInArrow(term_sets, "label int, terms binary").collect()
-    rows = sorted((r["label"], bytes(r["terms"])) for r in rows)
-    return fit(np.array([k for k, _ in rows], float), [np.frombuffer(t, "<u8") for _, t in rows], (totals.get(0, 0), totals.get(1, 0)))
+    rows = sorted((r["label"], r["terms"]) for r in rows)
+    return fit(np.array([k for k, _ in rows], float), [np.frombuffer(t, "<u4") for _, t in rows], (totals.get(0, 0), totals.get(1, 0)))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

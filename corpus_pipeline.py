@@ -17,8 +17,12 @@ from allelix.llm.queries import vocabulary_path
 
 
 def _kept(docs: DataFrame, drop: DataFrame) -> DataFrame:
-    """Documents whose id is not in ``drop`` (one column, doc_id); rows without an id stay."""
-    return docs.join(drop.distinct(), "doc_id", "left_anti")
+    """Documents whose id is not in ``drop`` (one column, doc_id); rows without an id stay.
+
+    The ids are written first, so that their size is known when the join is planned:
+    texts are only moved where the ids are too many to be sent to all tasks.
+    """
+    return docs.join(stored(docs.sparkSession, drop.distinct(), "drop"), "doc_id", "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

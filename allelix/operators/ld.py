@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import pearson
+from .windows import with_halo
 
 SLACK = 1 + 1e-12
 
@@ -38,12 +39,10 @@ def r_squared(sums: DataFrame) -> DataFrame:
 
 def ld_scores(pairs: DataFrame, rates: DataFrame, sites: DataFrame, window: int) -> DataFrame:
     """Score of each site: 1 if it varies and has two calls, plus r2 with every site in its window; and the window's size."""
-    from pyspark.sql import Window
-
     both = pairs.select("i", "r2").unionByName(pairs.select(F.col("j").alias("i"), "r2")).groupBy("i").agg(F.sum("r2").alias("s"))
     own = F.when((F.col("n") - F.col("missing") > 1) & (F.col("maf") > 0), 1.0).otherwise(0.0)
-    near = F.count(F.lit(1)).over(Window.partitionBy("chrom").orderBy("pos").rangeBetween(-window, window))
-    size = sites.withColumn("m", near).select("site_id", "m")
+    near = F.count(F.lit(1)).over(Window.partitionBy("chrom", "_block").orderBy("pos").rangeBetween(-window, window))
+    size = with_halo(sites, window, max(1_000_000, 50 * window)).withColumn("m", near).filter("_own").select("site_id", "m")
     return rates.join(size, "site_id").join(both, F.col("site_id") == F.col("i"), "left").select("site_id", (own + F.coalesce("s", F.lit(0.0))).alias("ld_score"), "m")
 
 

@@ -48,11 +48,25 @@ def holm(hits: DataFrame) -> DataFrame:
     return ranked.withColumn("_in", inside).join(tops, "_k").withColumn("p_holm", F.least(F.greatest("_in", F.coalesce("_prior", F.lit(0.0))), F.lit(1.0))).drop("_n", "_x", "_k", "_in", "_prior")
 
 
+def with_halo(df: DataFrame, reach: int, block: int) -> DataFrame:
+    """Rows dealt to blocks of positions (``_block``), and again to the neighbours within reach of whose edge they lie (``_own`` is false there).
+
+    A window of at most ``reach`` bases then needs one block, so a chromosome is as many tasks as it has blocks.
+    """
+    first, last = F.floor((F.col("pos") - reach) / block), F.floor((F.col("pos") + reach) / block)
+    dealt = df.withColumn("_block", F.explode(F.sequence(first, last)))
+    return dealt.withColumn("_own", F.col("_block") == F.floor(F.col("pos") / block))
+
+
 def sliding(sites: DataFrame, by_bp: int | None = None, by_rows: int | None = None) -> DataFrame:
     """For each site the number of sites in the window around it, and the least and mean p, by bases or by rows."""
-    w = Window.partitionBy("chrom").orderBy("pos")
-    w = w.rangeBetween(-by_bp, by_bp) if by_bp is not None else Window.partitionBy("chrom").orderBy("pos", "site_id").rowsBetween(-by_rows, by_rows)
-    return sites.withColumns({"n_window": F.count(F.lit(1)).over(w), "min_p": F.min("p").over(w), "mean_p": F.avg("p").over(w)})
+    if by_bp is not None:
+        sites = with_halo(sites, by_bp, max(1_000_000, 50 * by_bp))
+        w = Window.partitionBy("chrom", "_block").orderBy("pos").rangeBetween(-by_bp, by_bp)
+    else:
+        w = Window.partitionBy("chrom").orderBy("pos", "site_id").rowsBetween(-by_rows, by_rows)
+    out = sites.withColumns({"n_window": F.count(F.lit(1)).over(w), "min_p": F.min("p").over(w), "mean_p": F.avg("p").over(w)})
+    return out.filter("_own").drop("_block", "_own") if by_bp is not None else out
 
 
 def chrom_key(c: Column) -> list[Column]:

@@ -402,3 +402,41 @@ def test_trees_and_support_vectors():
     k = z @ z.T
     b = learners.support_vector_regression(k[:60, :60], p[:60] - p[:60].mean(), 1.0, 0.1)
     assert (np.abs(b) <= 1).all() and np.corrcoef(k[60:, :60] @ b, p[60:])[0, 1] > 0.2
+
+
+def test_windows_cross_blocks(spark):
+    rng = np.random.default_rng(6)
+    pos = np.sort(rng.integers(0, 5000, 300))
+    rows = [(i, "1", int(x), float(i % 17)) for i, x in enumerate(pos)]
+    df = spark.createDataFrame(rows, "site_id long, chrom string, pos int, p double")
+    from pyspark.sql import Window
+
+    halo = windows.with_halo(df, 120, 500)
+    n = halo.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("chrom", "_block").orderBy("pos").rangeBetween(-120, 120))).filter("_own")
+    assert {r["site_id"]: r["n"] for r in n.collect()} == {i: int((np.abs(pos - x) <= 120).sum()) for i, x in enumerate(pos)}
+
+
+def test_streams_of_events_and_calls(spark, tmp_path):
+    import datetime as dt
+
+    from allelix.streaming import events
+
+    day = dt.datetime(2024, 1, 1)
+    rows = [(k, day + dt.timedelta(minutes=10 * (k // 2)), "ab"[k % 2], 1.0) for k in range(40)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp, kind string, value double")
+    df.unionByName(df.limit(5)).coalesce(1).write.parquet(str(tmp_path / "e"))
+    stream = events.read(spark, str(tmp_path / "e"), df.schema)
+
+    def drain(out, mode, name):
+        q = out.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return spark.table(name).collect()
+
+    once = events.distinct_events(stream, "ts", "event_id", "1 day")
+    assert sorted(r["event_id"] for r in drain(once, "append", "once")) == list(range(40))
+    got = drain(events.windowed_counts(stream, "ts", "kind", "1 hour", "10 minutes"), "complete", "windows")
+    assert sum(r["n"] for r in got) == 45 and {r["start"].minute for r in got} == {0}
+    calls = spark.createDataFrame([(1, 0, 2), (1, 1, None), (2, 0, 1)], "site_id long, sample_id long, g int")
+    calls.coalesce(1).write.parquet(str(tmp_path / "g"))
+    got = drain(events.site_rates(events.read(spark, str(tmp_path / "g"), calls.schema)), "complete", "rates")
+    assert sorted(map(tuple, got)) == [(1, 2, 1, 2), (2, 1, 0, 1)]

@@ -48,7 +48,7 @@ END = 2
 SHARD_IDS = 1 << 20
 SLOT_BITS = 18
 ROUNDS, PAIRS_A_ROUND, MIN_COUNT = 3, 512, 16
-CACHE_WORDS = 400_000
+CACHE_WORDS, REST_WORDS = 400_000, 60_000
 #: How the tokenizer parts words, as its file states; and the ends of words.
 PIECES = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 JOINED = 500
@@ -108,11 +108,17 @@ class WordEncoder:
         self.flat, self.first = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
         self.uses = np.zeros(1 << 14, np.int32)
 
-    def _evict(self) -> None:
-        """Keep the words that were met again since the last time, at most half of the room; most words never are."""
+    def rest(self) -> None:
+        """Keep little between tasks: a worker may not run this operator's next one."""
+        self._evict(REST_WORDS)
+        self._clear_pieces()
+
+    def _evict(self, most: int) -> None:
+        """Keep the words that were met again since the last time, ``most`` at most; many words never are."""
+        self.uses = _room(self.uses, len(self.numbers))
         uses = self.uses[: len(self.numbers)]
         bar = 2
-        while np.count_nonzero(uses >= bar) > CACHE_WORDS // 2:
+        while np.count_nonzero(uses >= bar) > most:
             bar *= 2
         keep = np.flatnonzero(uses >= bar)
         words = list(self.numbers)
@@ -182,7 +188,7 @@ class WordEncoder:
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts with an end id after each, number of ids of each text)."""
         if len(self.numbers) > CACHE_WORDS:
-            self._evict()
+            self._evict(CACHE_WORDS // 2)
         if len(self.pieces) > CACHE_WORDS:
             self._clear_pieces()
         body = data.tobytes()
@@ -367,6 +373,7 @@ def _encode(path: str, shard_ids: int):
                     doc_ids, ids, sizes = [], [], []
         if doc_ids:
             yield shard()
+        encoder.rest()
         give_back()
 
     return run

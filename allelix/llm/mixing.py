@@ -29,10 +29,10 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEAT = 3
 SEED = 42
 #: A pattern is done when what it still lacks is below this share of what it gives.
-NEAR = 0.001
+NEAR = 0.004
 #: Patterns and sources live on the driver; more than this is an error, not a cut.
 MAX_PATTERNS = 200_000
-BIN_BITS, HASH_BITS, SMALL_BIN = 10, 60, 50_000
+BIN_BITS, HASH_BITS, SMALL_BIN = 10, 60, 2_000
 
 
 def _key(members: tuple) -> str:
@@ -145,14 +145,13 @@ def _cuts(rows: DataFrame, quota: dict[int, int]) -> dict[int, tuple]:
     bits = 0
     while state:
         shift = HASH_BITS - bits
-        small = {}
         if bits:
             here = F.broadcast(spark.createDataFrame([(p, b) for p, (b, _) in state.items()], "pattern int, bin long"))
             inside = rows.withColumn("bin", F.shiftrightunsigned("h", shift)).join(here, ["pattern", "bin"])
-            small = {r["pattern"]: r["n"] for r in inside.groupBy("pattern").agg(F.count("*").alias("n")).collect()}
         else:
             inside = rows.join(F.broadcast(spark.createDataFrame([(p,) for p in state], "pattern int")), "pattern")
-        deep = {p for p in state if (bits == 0 or small.get(p, 0) > SMALL_BIN) and bits + BIN_BITS < HASH_BITS}
+        small = {r["pattern"]: r["n"] for r in inside.groupBy("pattern").agg(F.count("*").alias("n")).collect()}
+        deep = {p for p in state if small.get(p, 0) > SMALL_BIN and bits + BIN_BITS < HASH_BITS}
         done = {p: state[p] for p in state if p not in deep}
         if done:
             lefts = spark.createDataFrame([(p, quota[p] - before) for p, (_, before) in done.items()], "pattern int, left long")

@@ -319,13 +319,18 @@ class Shard:
         self.flat, self.first = expansions(self.rules, self.terminals)  # no rule holds the end of a document
 
     def _expand(self, symbols: np.ndarray) -> np.ndarray:
-        rule = np.maximum(symbols - self.terminals, 0)
-        high = symbols >= self.terminals
-        size = np.where(high, self.sizes[rule], 1) if len(self.sizes) else np.ones(len(symbols), np.int64)
-        out = np.repeat(np.where(symbols == self.terminals - 1, END, symbols), size).astype(np.uint32)
-        if high.any():
-            inside = np.repeat(high, size)
-            out[inside] = self.flat[np.repeat(self.first[rule[high]], size[high]) + ranges(size[high])]
+        high = np.flatnonzero(symbols >= self.terminals)
+        rule = symbols[high] - self.terminals
+        plain = symbols.astype(np.uint32)
+        plain[symbols == self.terminals - 1] = END
+        if not len(high):
+            return plain
+        size = np.ones(len(symbols), np.int64)
+        size[high] = self.sizes[rule]
+        out = np.repeat(plain, size)
+        begin = (np.cumsum(size) - size)[high]
+        inner = ranges(size[high])
+        out[np.repeat(begin, size[high]) + inner] = self.flat[np.repeat(self.first[rule], size[high]) + inner]
         return out
 
     def document(self, k: int) -> np.ndarray:
@@ -361,7 +366,7 @@ def _encode(path: str, shard_ids: int):
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names)
 
         for batch in batches:
-            for lo, hi, data, offsets in text_blocks(batch.column(1), 1 << 20):
+            for lo, hi, data, offsets in text_blocks(batch.column(1), 3 << 20):
                 got, per_doc = encoder.encode(data, offsets)
                 doc_ids += batch.column(0).slice(lo, hi - lo).to_pylist()
                 ids.append(got)
@@ -379,10 +384,15 @@ def _encode(path: str, shard_ids: int):
     return run
 
 
+def parts_for(spark: SparkSession) -> int:
+    """A third of the shuffle partitions, as a task that is larger meets its words again; two for each core at least."""
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 3)
+
+
 def write_shards(docs: DataFrame, path: str, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Encode and write; returns the shard table as read back from its files."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    ordered = source.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = source.repartitionByRange(parts_for(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
     return stored(docs.sparkSession, ordered.mapInArrow(_encode(path, shard_ids), SHARDS), "shards")
 
 

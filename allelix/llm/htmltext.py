@@ -1,25 +1,26 @@
 """Operator 7: main text of web pages, by differencing with the page of the nearest URL.
 
 A page is parsed into lines, one for each block.  Pages of a host are ordered by
-URL path; a page is paired with that neighbour in the order with which its path
-shares the longer beginning.  The lines outside the article of both pages are
-aligned by a longest common subsequence, and the lines that they share are
-deleted: menus, notices and footers repeat from page to page, content does not.
+URL path; of the nearest page before it and the nearest after it whose lines
+differ from its own, a page is paired with the one whose path shares the longer
+beginning with its path.  The lines outside the article of both pages are aligned by a longest common subsequence, and the lines that they share are deleted: menus,
+notices and footers repeat from page to page, content does not.
 
 Markup settles what differencing cannot see from one pair.  Lines in <article>
 (else <main>) are the article and are kept, also where another page is a copy of
 it; lines in menus, headers, footers, sidebars, notices, adverts, forms and reader
-comments, by element, class, id or role, go.  Without either element the text is
-what is left of the body after both.
+comments, by element, class, id or role, go.  So differencing has no say in the
+text of a page with either element; its lines only tell its neighbours' menus.
+Without either element the text is what is left of the body after both.
 
 Scale: what is shuffled for the pairing is a 64-bit hash for each line outside
-articles.  Neighbours are found by numbering the range-sorted pages and joining
-numbers, so a host with a third of all pages is spread over all tasks.  Only the
-sizes of range partitions reach the driver.
+articles.  Neighbours are found by numbering the range-sorted pages and joining the
+numbers at the ends of each run of like pages, so a host with a third of all pages
+is spread over all tasks.  Only a row for each range partition reaches the driver.
 
 Defined results: null or empty html has an empty text; a null url is a host and
-path of its own; the only page of a host has nothing deleted, and copies are not
-paired with each other; repeated rows share their result, and each gives a row;
+path of its own; the only page of a host has nothing deleted, nor have pages of a
+host that are all alike, and copies are not paired with each other; repeated rows share their result, and each gives a row;
 other columns are ignored.
 """
 
@@ -203,12 +204,17 @@ def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, at = TaskContext.get().partitionId(), 0
+    """Adds the partition, the row's place in it, and the place of the first row of its run of pages alike."""
+    part, at, last, start = TaskContext.get().partitionId(), 0, None, 0
     for batch in batches:
-        n = batch.num_rows
-        columns = [*batch.columns, pa.array(np.full(n, part), pa.int32()), pa.array(np.arange(at, at + n))]
+        n, runs = batch.num_rows, []
+        for k, mine in enumerate(zip(batch.column(1).to_pylist(), batch.column(3).to_pylist())):
+            if mine != last:
+                last, start = mine, at + k
+            runs.append(start)
+        columns = [*batch.columns, pa.array(np.full(n, part), pa.int32()), pa.array(np.arange(at, at + n)), pa.array(runs, pa.int64())]
         at += n
-        yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "part", "pos"])
+        yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "part", "pos", "run"])
 
 
 def _common(a: str, b: str) -> int:
@@ -221,13 +227,12 @@ def _common(a: str, b: str) -> int:
 
 
 def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages with their neighbours, to the numbers of lines (outside articles) to delete."""
+    """Pages with the nearest pages unlike them, to the numbers of lines (outside articles) to delete."""
     for batch in batches:
         keys, out = [], []
         for r in batch.to_pylist():
-            # A copy of the page tells menus from content no better than the page itself.
-            before = r["path_before"] if r["host_before"] == r["host"] and r["hashes_before"] != r["hashes"] else None
-            after = r["path_after"] if r["host_after"] == r["host"] and r["hashes_after"] != r["hashes"] else None
+            before = r["path_before"] if r["host_before"] == r["host"] else None
+            after = r["path_after"] if r["host_after"] == r["host"] else None
             if before is None and after is None:
                 continue
             near = r["hashes_before"]
@@ -235,7 +240,7 @@ def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 near = r["hashes_after"]
             mine = np.frombuffer(r["hashes"], "<u8").tolist()
             places = np.frombuffer(r["places"], "u1")
-            gone = [i for i in shared(mine, np.frombuffer(near, "<u8").tolist()) if places[i] != GONE]
+            gone = [i for i in shared(mine, np.frombuffer(near, "<u8").tolist()) if places[i] == BODY]
             if gone:
                 keys.append(r["key"])
                 out.append(gone)
@@ -247,16 +252,27 @@ def shared_lines(keyed: DataFrame) -> DataFrame:
     spark = keyed.sparkSession
     outline = keyed.select("key", "url", "html").mapInArrow(_outline, "key long, host string, path string, hashes binary, places binary")
     ordered = outline.repartitionByRange("host", "path", "key").sortWithinPartitions("host", "path", "key")
-    kind = "key long, host string, path string, hashes binary, places binary, part int, pos long"
+    kind = "key long, host string, path string, hashes binary, places binary, part int, pos long, run long"
     ordered = stored(spark, ordered.mapInArrow(_numbered, kind), "ordered")
-    run, table = 0, []
-    for r in sorted(ordered.groupBy("part").count().collect()):
-        table.append((r["part"], run))
-        run += r["count"]
-    offsets = F.broadcast(spark.createDataFrame(table, "part int, before long"))
-    numbered = ordered.join(offsets, "part").select((F.col("before") + F.col("pos")).alias("n"), "key", "host", "path", "hashes", "places")
-    side = lambda d, name: numbered.select((F.col("n") + d).alias("n"), *(F.col(c).alias(f"{c}_{name}") for c in ("host", "path", "hashes")))
-    both = numbered.join(side(1, "before"), "n", "left").join(side(-1, "after"), "n", "left")
+    like = F.xxhash64("host", "hashes")
+    parts = ordered.groupBy("part").agg(F.count("*").alias("n"), F.min_by(like, "pos").alias("first"), F.max_by(like, "pos").alias("last"), F.max("run").alias("run"))
+    before, run, last, table = 0, 0, None, []
+    for r in parts.orderBy("part").collect():  # a run may go on from the partition before
+        first = run if r["first"] == last else before
+        table.append((r["part"], before, first))
+        run = before + r["run"] if r["run"] else first
+        before, last = before + r["n"], r["last"]
+    offsets = F.broadcast(spark.createDataFrame(table, "part int, before long, first long"))
+    numbered = ordered.join(offsets, "part").select(
+        (F.col("before") + F.col("pos")).alias("n"), F.when(F.col("run") == 0, F.col("first")).otherwise(F.col("before") + F.col("run")).alias("run"),
+        "key", "host", "path", "hashes", "places",
+    )
+    # A copy of a page tells menus from content no better than the page itself, so a run's neighbours are those of its ends.
+    runs = numbered.groupBy("run").agg(F.count("*").alias("size"))
+    side = lambda name: numbered.select(F.col("n").alias(f"n_{name}"), *(F.col(c).alias(f"{c}_{name}") for c in ("host", "path", "hashes")))
+    ends = runs.select("run", (F.col("run") - 1).alias("n_before"), (F.col("run") + F.col("size")).alias("n_after"))
+    ends = ends.join(side("before"), "n_before", "left").join(side("after"), "n_after", "left")
+    both = numbered.join(ends, "run")
     gone = both.mapInArrow(_differences, "key long, gone array<int>")
     return gone.groupBy("key").agg(F.max("gone").alias("gone"))
 

@@ -78,6 +78,17 @@ def brute_quotas(sizes):
         capped |= over
 
 
+def test_pages_in_a_run_of_copies_pair_with_the_nearest_that_differs(spark):
+    page = lambda body: f"<html><body><p>Menu</p>{body}<p>Foot</p></body></html>"
+    main = lambda body: f"<html><body><p>Menu</p><main><p>Notice</p>{body}</main></body></html>"
+    rows = [(k, f"http://a.b/p{k}", page("<p>Copied text</p>")) for k in range(1, 8)]
+    rows += [(8, "http://a.b/p8", page("<p>Other text</p>"))]
+    rows += [(9, "http://m.b/1", main("<p>One</p>")), (10, "http://m.b/2", main("<p>Two</p>"))]
+    rows += [(k, f"http://c.b/{k}", page("<p>Alike</p>")) for k in (11, 12, 13)]
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == dict.fromkeys(range(1, 8), "Copied text") | {8: "Other text", 9: "Notice One", 10: "Notice Two"} | dict.fromkeys((11, 12, 13), "Menu Alike Foot")
+
+
 def test_quotas():
     for sizes in ({"a": 10, "b": 1000, None: 5, "c": 2}, {"a": 1}, {"x": 0, "y": 9}, {f"s{k}": k * k + 1 for k in range(30)}):
         want = brute_quotas(sizes)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from allelix.llm import decontam, mixing, simhash, tokens, toxicity
+from allelix.llm import decontam, mixing, shingles, simhash, tokens, toxicity
 from allelix.llm.common import load, stored
 from allelix.llm.queries import vocabulary_path
 
@@ -31,9 +31,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _kept(docs, toxicity.score(docs, model).filter("predicted = 1 and doc_id is not null").select("doc_id"))
 
 
+def _linked(spark: SparkSession, found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``found`` (doc_id, component_id) with the components that ``pairs`` of documents connect made one."""
+    found, pairs = stored(spark, found.select("doc_id", "component_id"), "found"), stored(spark, pairs, "pairs")
+    ends = stored(spark, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ends")
+    # An id with several texts has several components, which all take part.
+    parts = stored(spark, found.join(ends, "doc_id").distinct(), "parts")
+    for end in ("a", "b"):
+        pairs = pairs.join(parts.select(F.col("doc_id").alias(end), F.col("component_id").alias(f"c_{end}")), end)
+    roots = simhash.components(pairs.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")))
+    joined = found.join(roots.withColumnRenamed("node", "component_id"), "component_id", "left")
+    return joined.select("doc_id", F.coalesce("root", "component_id").alias("component_id"))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash (5): of each component the document with the smallest id stays; of repeated rows of it, one."""
-    found = simhash.near_duplicates(docs)
+    """SimHash (5), and five-word shingles for copies with more edits: of each component the document with the smallest id stays; of repeated rows of it, one."""
+    found = _linked(spark, simhash.near_duplicates(docs), shingles.similar_pairs(docs))
     drop = found.filter("doc_id <> component_id").select("doc_id")
     left = _kept(docs, drop)
     repeated = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")

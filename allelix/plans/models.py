@@ -64,7 +64,7 @@ def variance_components(spark, d):
 @query("admixture")
 def admixture(spark, d):
     ids, _, rows, _ = _dense(spark, d)
-    q, ll = structure.admixture_em(rows, len(ids), 3, steps=5)
+    q, ll = structure.admixture_em(rows, len(ids), 3, steps=1000)  # far above what its stopping rule needs
     return spark.createDataFrame([(i, c, float(q[r, c]), ll) for r, i in enumerate(ids) for c in range(3)], "sample_id long, k int, q double, loglik double")
 
 
@@ -83,18 +83,18 @@ def tree(spark, d):
 
 @query("bayes_effects")
 def bayes_effects(spark, d):
-    """One task for each method; the sites are those of one gene set, as a chain holds its markers in memory."""
+    """One task for each method, over all kept sites, as a chain holds its markers in memory."""
     ids, y, rows, _ = _dense(spark, d)
-    wanted = view(spark, d, "sites").filter("gene_set = 'Brand#7'").select("site_id")
-    got = sorted((r["site_id"], r["g"]) for r in rows.join(wanted, "site_id", "left_semi").collect())
-    sites, g = [s for s, _ in got], np.array([x for _, x in got]).T
+    got = rows.toArrow().sort_by("site_id")
+    sites, calls = got["site_id"].to_pylist(), got["g"].combine_chunks()
+    g = spark.sparkContext.broadcast(mixed.as_matrix(calls).T)
 
     def run(frames):
         import pandas as pd
 
         for f in frames:
             for m in f["method"]:
-                out = predict.bayes(g, y, m, 60, 20)
+                out = predict.bayes(g.value, y, m)
                 yield pd.DataFrame({"method": m, "site_id": sites, "beta": out["beta"], "pip": out["pip"]})
 
     methods = spark.createDataFrame([("A",), ("B",), ("Cpi",)], "method string").repartition(3)

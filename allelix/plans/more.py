@@ -196,9 +196,12 @@ def network_modules(spark, d):
 @query("forest_predictions")
 def forest_predictions(spark, d):
     ids, y, rows, _ = _dense(spark, d)
-    best = [r["site_id"] for r in view(spark, d, "hits").join(rows.select("site_id"), "site_id", "left_semi").orderBy("p", "site_id").limit(40).collect()]
     fold = view(spark, d, "samples").select("sample_id", "fold")
-    return learners.predict_out_of_fold(learners.sample_rows(rows, ids, y, best), "enet", fold, 3)
+    data, out = learners.sample_rows(rows, ids, y).persist(), None
+    for method in ("rf", "gbdt", "enet"):
+        part = learners.predict_out_of_fold(data, method, fold, 5).select(F.lit(method).alias("method"), "sample_id", "y", "pred")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("permutation_null")

@@ -14,11 +14,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are processed in blocks of about so many bytes (a longer text is a block of its own).
 BLOCK_BYTES = 2 << 20
+#: Letters hashed at once.
+STRIDE = 1 << 14
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -60,11 +63,28 @@ def give_back() -> None:
     """Return freed memory to the system where the C library can, so that idle Python workers stay small."""
     import ctypes
 
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)
 
 
+def positioned(docs: DataFrame) -> DataFrame:
+    """(row, key): all columns of a row as one struct, and a key that no other row has, whatever the row holds.
+
+    Rows of files are known by the file's path and the row's number in it, which are
+    the same in every run over the same files; other tables are written first.
+    """
+    row = F.struct("*").alias("row")
+    try:
+        if "_metadata" not in docs.columns:
+            return docs.select(row, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias("key"))
+    except AnalysisException:
+        pass
+    at = F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at")).alias("key")
+    return stored(docs.sparkSession, docs.select(row, at), "rows")
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -127,39 +147,65 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tup
 
 
 class Roller:
-    """Polynomial hashes modulo 2**64 of arbitrary byte spans, from one prefix sum.
+    """Polynomial hashes of arbitrary byte spans, from prefix sums modulo the prime 2**31 - 1.
 
-    Each byte stands for a random 64-bit value; the base is 5 modulo 8, so powers
-    of it differ in a low bit, and spans are mixed at the end.
+    Two hashes with tables and bases of their own give 62 bits.  As the modulus is
+    prime, no pattern of letters makes a difference vanish for every table (as words
+    of the Thue-Morse kind do modulo a power of two); two different spans of n bytes
+    collide with a chance of at most (n / 2**31)**2 over the choice of bases.
     """
 
-    BASE = 0x9E3779B97F4A7C15 & ~7 | 5
+    PRIME = np.uint64((1 << 31) - 1)
+    BASES = (48271, 1_283_743_991)
 
     def __init__(self, seed: int = 42, fold: np.ndarray | None = None):
-        table = np.random.default_rng(seed).integers(1, 2**64, 256, dtype=np.uint64)
-        self.table = table if fold is None else table[fold]
-        self.up = self.down = np.ones(1, np.uint64)
+        tables = np.random.default_rng(seed).integers(1, int(self.PRIME), (2, 256), dtype=np.uint64)
+        self.tables = tables if fold is None else tables[:, fold]
+        self.up = self.down = np.ones((2, 1), np.uint64)
+
+    @classmethod
+    def _fold(cls, x: np.ndarray) -> np.ndarray:
+        """Below 2**32, and the same modulo the prime."""
+        return (x & cls.PRIME) + (x >> np.uint64(31))
+
+    @classmethod
+    def _reduce(cls, x: np.ndarray) -> np.ndarray:
+        x = cls._fold(cls._fold(x))
+        x[x >= cls.PRIME] -= cls.PRIME
+        return x
 
     def _grow(self, n: int) -> None:
-        if len(self.up) <= n:
+        if self.up.shape[1] <= n:
             size = max(n + 1, BLOCK_BYTES + 2)
-            for name, base in (("up", self.BASE), ("down", pow(self.BASE, -1, 2**64))):
-                powers = np.full(size, base, np.uint64)
-                powers[0] = 1
-                setattr(self, name, np.multiply.accumulate(powers))
+            for name, sign in (("up", 1), ("down", -1)):
+                rows = []
+                for base in self.BASES:
+                    step, powers = pow(base, sign, int(self.PRIME)), np.ones(1, np.uint64)
+                    while len(powers) < size:  # by doubling
+                        powers = np.concatenate([powers, self._reduce(powers * np.uint64(pow(step, len(powers), int(self.PRIME))))])
+                    rows.append(powers[:size])
+                setattr(self, name, np.stack(rows))
 
     def prefix(self, data: np.ndarray) -> np.ndarray:
         self._grow(len(data))
-        out = np.zeros(len(data) + 1, np.uint64)
-        terms = self.table[data]
-        terms *= self.up[: len(data)]
-        np.cumsum(terms, out=out[1:])
+        out = np.zeros((2, len(data) + 1), np.uint64)
+        for k in range(2):  # terms are below 2**32, so that sums of 2**31 of them fit
+            for a in range(0, len(data), STRIDE):  # what is worked on stays in the cache
+                part = out[k, a + 1 : a + STRIDE + 1]
+                np.take(self.tables[k], data[a : a + STRIDE], out=part)
+                part *= self.up[k, a : a + len(part)]
+                low = part & self.PRIME
+                part >>= np.uint64(31)
+                part += low
+                np.cumsum(part, out=part)
+                part += out[k, a]
         return out
 
     def spans(self, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        out = prefix[ends]
-        out -= prefix[starts]
-        out *= self.down[starts]
+        out = np.zeros(len(starts), np.uint64)
+        for k in range(2):
+            part = self._reduce(prefix[k][ends] - prefix[k][starts])
+            out = out << np.uint64(31) | self._reduce(part * self.down[k][starts])
         return mix(out)
 
 

@@ -5,9 +5,9 @@ words, present or not.  Weights for single terms and factors for pairs are
 learnt together, so that a pair (an insult with the mention of a group) can
 weigh more, or less, than its parts.
 
-Only the fit is bounded: at most ``SAMPLE`` labelled documents of each class, the
-first in a hash order of their ids, are reduced to term sets on the executors and
-gathered; class weights restore the proportions of all labels.  Every document
+Only the fit is bounded: at most ``SAMPLE`` labelled documents of each class, of at
+most ``FIT_BYTES`` bytes each, the first in a hash order of their ids and one text for
+each id, are reduced to term sets on the executors and gathered; class weights restore the proportions of all labels.  Every document
 is scored on its whole text in one pass without a shuffle.
 
 Defined results: a null or empty text has no terms and gets the bias alone;
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import ALNUM, LOWER, Roller, held_out, text_blocks, word_spans
 
 SAMPLE = 3000
+#: A longer text takes no part in the fit (it is scored like any other).
+FIT_BYTES = 1 << 18
 TERMS = 1024
 FACTORS = 6
 PREFIX_BYTES = (4, 5)
@@ -135,25 +137,43 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         .filter(F.col("id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("id")))
         .groupBy("id").agg(F.max("label").alias("label"))
     )
-    known = known.join(docs.select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi")
+    short = docs.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= FIT_BYTES)
+    known = known.join(short.select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi")
     totals = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     chosen = [known.filter(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(sample) for k in (0, 1)]
     chosen = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 * sample rows
-    texts = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("body")).join(chosen, "id")
+    texts = short.select(F.col("doc_id").alias("id"), F.col("text").alias("body")).join(chosen, "id")
+    # One text for each id, however often the id occurs; the maximum is taken before rows are sent.
+    texts = texts.groupBy("id").agg(F.max("label").alias("label"), F.max("body").alias("body"))
     rows = texts.select("label", "body").mapInArrow(term_sets, "label int, terms binary").collect()
     rows = sorted((r["label"], r["terms"]) for r in rows)
     return fit(np.array([k for k, _ in rows], float), [np.frombuffer(t, "<u4") for _, t in rows], (totals.get(0, 0), totals.get(1, 0)))
 
 
+def _scored(batches: Iterator[pa.RecordBatch], column: str, model: Model) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Blocks of rows with the scores of the texts in a column."""
+    roller = Roller(fold=LOWER)
+    for batch in batches:
+        for lo, hi, data, offsets in text_blocks(batch.column(column)):
+            yield batch.slice(lo, hi - lo), model.scores(hi - lo, *block_terms(data, offsets, roller))
+
+
+def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents that the model does not predict to be toxic, with all their columns, in one pass without a join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, p in _scored(batches, "text", model):
+            yield block.filter(pa.array(p < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller = Roller(fold=LOWER)
-        for batch in batches:
-            for lo, hi, data, offsets in text_blocks(batch.column(1)):
-                p = model.scores(hi - lo, *block_terms(data, offsets, roller))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(p, pa.float64())], ["doc_id", "score"])
+        for block, p in _scored(batches, "text", model):
+            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(p, pa.float64())], ["doc_id", "score"])
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(run, "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

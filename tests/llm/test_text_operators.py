@@ -137,18 +137,48 @@ def brute_contamination(rows, items):
     return out
 
 
-@pytest.mark.parametrize("bound", [1 << 20, 200])
-def test_decontamination_matches_brute_force(spark, docs, corpus, no_docs, bound):
+@pytest.mark.parametrize("bits", [26, 8])
+def test_decontamination_matches_brute_force(spark, docs, corpus, no_docs, bits, monkeypatch):
+    monkeypatch.setattr(decontam, "SIEVE_BITS", bits)
     w = corpus[120][1].split()
     items = [("a", " ".join(w[22:60])), ("b", "THE of"), ("c", None), ("d", corpus[7][1]), ("d", corpus[8][1]), ("e", ""), (None, "x"), ("f", " ".join(w[25:38])), ("g", " ".join(w[25:37]) + " zzz"), ("h", "中文 Öl")]
     bench = spark.createDataFrame(items, "item_id string, text string")
-    got = decontam.decontaminate(docs, bench, broadcast_bytes=bound).collect()
-    same([(r[0], r[1], r[2], r[3], tuple(sorted(r[4])), r[5]) for r in got], brute_contamination(corpus, [x for x in items if x[0]]))
+    got = decontam.decontaminate(docs, bench).collect()
+    result = [(r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], tuple(sorted(r["items"])), r["contaminated"]) for r in got]
+    same(result, brute_contamination(corpus, [x for x in items if x[0]]))
+    full = [(i, n) for i, _, n, *_ in brute_contamination(corpus, [x for x in items if x[0] and len((x[1] or "").split()) >= 13])]
+    same([(r["doc_id"], r["n_full"]) for r in got], full)
     assert sum(r["n_items"] > 0 for r in got) > 10
     assert decontam.decontaminate(no_docs, bench).collect() == []
     assert all(r["n_hit"] == 0 for r in decontam.decontaminate(docs, bench.limit(0)).collect())
 
 
+def test_words_that_only_their_hashes_could_confuse(spark):
+    """Thue-Morse words and their complements collide in any polynomial hash modulo a power of two."""
+    word = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    r = Roller()
+    p = r.prefix(np.frombuffer((word + other).encode(), np.uint8))
+    assert len(set(r.spans(p, np.array([0, 1024]), np.array([1024, 2048])).tolist())) == 2
+    docs = spark.createDataFrame([(1, other), (2, word), (3, " ".join([word, other] * 10)), (4, " ".join([other, word] * 10))], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, word), (2, " ".join([word, other] * 7))], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["items"]) for r in decontam.decontaminate(docs, bench).collect()}
+    assert got == {1: (0, []), 2: (1, ["1"]), 3: (20, ["1", "2"]), 4: (20, ["1", "2"])}
+
+
+def test_stage_drops_any_full_window(spark):
+    import corpus_pipeline
+
+    words = [f"u{k}" for k in range(3000)]
+    item = " ".join(words[40:60])
+    rows = [(None, " ".join(words)), (1, " ".join(words[45:58])), (2, " ".join(words[45:57])), (2, " ".join(words[48:61] * 3)), (3, None), (4, "brief test"), (5, " ".join(["brief"] + words[100:300]))]
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, key string, items string")
+    bench = spark.createDataFrame([(1, item), (2, "brief"), (3, None)], "item_id long, text string")
+    kept = decontam.clean(df, bench)
+    assert kept.columns == df.columns and corpus_pipeline.STAGES[2][0] == "decontamination"
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([rows[2], rows[3], rows[4], rows[6]])
+
+
 def brute_simhash(text):
     w = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
     if not w:
@@ -190,6 +220,7 @@ def test_near_duplicates_match_brute_force(spark, docs, corpus, no_docs, hot):
         copy = list(words)
         copy[k * 7 % 400] = f"edit{k}"
         rows.append((1000 + k, " ".join(copy), "en", "s0", "x"))
+    rows += [(None, "one of a kind " * 9, "en", "s0", "x"), (None, "one of a kind " * 9 + "edit", "en", "s0", "x")]
     df = spark.createDataFrame(rows, docs.schema)
     got = [(r["doc_id"], r["fp"] & (1 << 64) - 1, r["component_id"]) for r in simhash.near_duplicates(df, hot=hot).collect()]
     want = brute_components([(r[0], brute_simhash(r[1])) for r in rows])
@@ -226,6 +257,28 @@ def test_unequal_thresholds_lose_no_link(spark, thresholds, monkeypatch):
     same(got, brute_components(prints))
 
 
+def test_fingerprints_of_rows_without_ids_link_others(spark, monkeypatch):
+    prints = [(5, 0x7), (None, 0x1C7), (9, 0xFC7), (None, 1 << 60), (None, 3 << 60), (None, 0x7)]
+    monkeypatch.setattr(simhash, "fingerprints", lambda d: spark.createDataFrame(prints, "doc_id long, fp long"))
+    got = [tuple(r) for r in simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect()]
+    same(got, brute_components(prints))
+    assert {c for _, f, c in got if f < 1 << 59} == {5} and {c for _, f, c in got if f >= 1 << 59} == {None}
+
+
+def test_a_bucket_of_very_many_fingerprints():
+    """100,000 members of one bucket that differ in a few bits of the rest: linked in place, without all pairs."""
+    rng = np.random.default_rng(4)
+    fp = np.unique(rng.integers(0, 1 << 36, 100_000, dtype=np.uint64) << np.uint64(16))
+    near = fp[:2000] ^ (np.uint64(1) << np.uint64(20))
+    fp = np.unique(np.concatenate([fp, near]))
+    forest = simhash.Forest(fp, np.zeros(len(fp), bool), 3)
+    forest.bucket(np.arange(len(fp)), list(range(16, 64)))
+    a, b = np.array(forest.a, np.uint64), np.array(forest.b, np.uint64)
+    assert len(a) >= 2000 and (np.bitwise_count(a ^ b) <= 3).all()
+    ends = np.concatenate([a, b])
+    assert np.isin(near, ends).all() and np.isin(near ^ (np.uint64(1) << np.uint64(20)), ends).all()
+
+
 def test_components_of_long_paths_and_stars(spark):
     path = [(i, i + 1) for i in range(60)] + [(200, x) for x in range(201, 240)] + [(7, 7)]
     got = dict(map(tuple, simhash.components(spark.createDataFrame(path, "a long, b long")).collect()))

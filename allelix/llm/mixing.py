@@ -7,37 +7,35 @@ convex repetition cost, source nodes drain their quota.  The flow says how many
 words each pattern gives; documents are then chosen in a seeded order.
 
 Scale: one pass over the texts counts words, and what follows works on rows of
-(id, pattern, size, hash).  The cut in the seeded order is found by histograms
+(pattern, size, hashes).  The cut in the seeded order is found by histograms
 of 1024 hash bins, narrowed until the bin of the cut is small, so that no task
-ever sorts a source.  Only one row for each pattern reaches the driver.
+ever sorts a source; where equal texts fill the last bin, hashes of the rows' own
+places narrow it further.  Only one row for each pattern reaches the driver.
 
 Defined results: a null text or one without words has size 0 and is never taken;
-null is a source of its own, after all others; repeated rows count each; an empty
-table gives an empty result.  Other columns of the input are ignored.
+null is a source of its own, after all others; a null list of members has no source
+and is not taken; ids may be null or repeat, as nothing goes by them; of repeated
+rows each counts, and which of them is taken does not show; an empty table gives an
+empty result.  ``mix_sources`` ignores other columns, ``repeat_rows`` keeps them.
 """
 
 from __future__ import annotations
 
 from collections import deque
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import positioned, stored
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEAT = 3
 SEED = 42
 #: A pattern is done when what it still lacks is below this share of what it gives.
-NEAR = 0.004
+NEAR = 0.0002
 #: Patterns and sources live on the driver; more than this is an error, not a cut.
 MAX_PATTERNS = 200_000
-BIN_BITS, HASH_BITS, SMALL_BIN = 10, 60, 2_000
-
-
-def _key(members: tuple) -> str:
-    """A name of the pattern that no other pattern has: its sources in hexadecimal, null as a dash."""
-    return ",".join("-" if m is None else m.encode().hex().upper() for m in members)
+BIN_BITS, HASH_BITS, SMALL_BIN = 10, 60, 50_000
 
 
 def quotas(sizes: dict, weights: tuple[float, ...] = WEIGHTS, repeat: int = MAX_REPEAT) -> dict:
@@ -62,7 +60,10 @@ def quotas(sizes: dict, weights: tuple[float, ...] = WEIGHTS, repeat: int = MAX_
 
 
 class Flow:
-    """Min-cost flow by successive shortest paths (queue-based Bellman-Ford)."""
+    """Min-cost flow by the primal-dual method: each round opens all shortest paths at once and saturates them level by level.
+
+    Rounds are few, as costs are the few repetition costs; arcs, not paths, set the work of a round.
+    """
 
     def __init__(self):
         self.to, self.cap, self.cost, self.out = [], [], [], []
@@ -79,29 +80,66 @@ class Flow:
             self.cost.append(w)
         return len(self.to) - 2
 
+    def _far(self, s: int) -> list[int]:
+        """The least cost from ``s`` to each node over arcs with room."""
+        far, queue, queued = [1 << 60] * len(self.out), deque([s]), bytearray(len(self.out))
+        far[s] = 0
+        while queue:
+            x = queue.popleft()
+            queued[x] = 0
+            for e in self.out[x]:
+                y = self.to[e]
+                if self.cap[e] > 0 and far[x] + self.cost[e] < far[y]:
+                    far[y] = far[x] + self.cost[e]
+                    if not queued[y]:
+                        queued[y] = 1
+                        queue.append(y)
+        return far
+
+    def _levels(self, s: int, far: list[int]) -> list[int]:
+        """Steps from ``s`` over arcs with room that lie on shortest paths."""
+        level, queue = [-1] * len(self.out), deque([s])
+        level[s] = 0
+        while queue:
+            x = queue.popleft()
+            for e in self.out[x]:
+                y = self.to[e]
+                if self.cap[e] > 0 and level[y] < 0 and far[y] == far[x] + self.cost[e]:
+                    level[y] = level[x] + 1
+                    queue.append(y)
+        return level
+
     def run(self, s: int, t: int) -> None:
+        while (far := self._far(s))[t] < 1 << 60:
+            while (level := self._levels(s, far))[t] >= 0:
+                self._saturate(s, t, far, level)
+
+    def _saturate(self, s: int, t: int, far: list[int], level: list[int]) -> None:
+        """A blocking flow over the levels, by depth-first search that never takes a dead arc again."""
+        at, path, x = [0] * len(self.out), [], s
         while True:
-            far, via, queue, queued = {s: 0}, {}, deque([s]), {s}
-            while queue:
-                x = queue.popleft()
-                queued.discard(x)
-                for e in self.out[x]:
-                    y = self.to[e]
-                    if self.cap[e] > 0 and far[x] + self.cost[e] < far.get(y, 1 << 60):
-                        far[y], via[y] = far[x] + self.cost[e], e
-                        if y not in queued:
-                            queued.add(y)
-                            queue.append(y)
-            if t not in far:
+            if x == t:
+                push = min(self.cap[e] for e in path)
+                for e in path:
+                    self.cap[e] -= push
+                    self.cap[e ^ 1] += push
+                k = next(i for i, e in enumerate(path) if not self.cap[e])
+                x = self.to[path[k] ^ 1]
+                del path[k:]
+            while at[x] < len(self.out[x]):
+                e = self.out[x][at[x]]
+                y = self.to[e]
+                if self.cap[e] > 0 and level[y] == level[x] + 1 and far[y] == far[x] + self.cost[e]:
+                    break
+                at[x] += 1
+            if at[x] < len(self.out[x]):
+                path.append(self.out[x][at[x]])
+                x = self.to[path[-1]]
+            elif path:
+                x = self.to[path.pop() ^ 1]
+                at[x] += 1
+            else:
                 return
-            path, x = [], t
-            while x != s:
-                path.append(via[x])
-                x = self.to[via[x] ^ 1]
-            push = min(self.cap[e] for e in path)
-            for e in path:
-                self.cap[e] -= push
-                self.cap[e ^ 1] += push
 
 
 def route(patterns: dict[tuple, int], targets: dict, repeat: int = MAX_REPEAT) -> dict[tuple, int]:
@@ -126,90 +164,101 @@ def route(patterns: dict[tuple, int], targets: dict, repeat: int = MAX_REPEAT) -
     return {p: sum(net.cap[e ^ 1] for e in arcs) for p, arcs in given.items()}
 
 
-def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, extra: list | None = None) -> DataFrame:
-    """(id, source, size, h): words of [^\\x20\\x09-\\x0D]+ and a seeded 60-bit hash of the id."""
+def sized(
+    docs: DataFrame, place: Column, doc_id: Column, text: Column, source: Column, members: Column, extra: list[Column], seed: int = SEED
+) -> DataFrame:
+    """Each row with its words of [^\\x20\\x09-\\x0D]+, the name of its pattern, and its place in the seeded order.
+
+    The order goes by ``h``, a hash of the row's id and text, and among repeated rows by
+    ``hp``, a hash of ``place``, which is the row's own.
+    """
+    key = F.array_join(F.transform(members, lambda m: F.coalesce(F.hex(F.encode(m, "utf-8")), F.lit("-"))), ",")
     return docs.select(
-        F.col(id_col).alias("id"),
-        F.col(source_col).cast("string").alias("source"),
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"),
-        F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 64 - HASH_BITS).alias("h"),
-        *(extra or []),
+        *extra,
+        source.cast("string").alias("source"),
+        F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"),
+        members.alias("members"),
+        key.alias("key"),
+        F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id, text), 64 - HASH_BITS).alias("h"),
+        F.shiftrightunsigned(F.xxhash64(F.lit(seed), place), 64 - HASH_BITS).alias("hp"),
     )
 
 
-def _cuts(rows: DataFrame, quota: dict[int, int]) -> dict[int, tuple]:
-    """For each pattern the last (h, id, size) in seeded order whose running size stays within the quota."""
-    spark = rows.sparkSession
-    quota, found = dict(quota), {}
-    state = {p: (0, 0) for p in quota}  # bin of the cut at this level, words before it
+def _cuts(rows: DataFrame, quota: dict[int, int], keys: tuple[str, ...] = ("h", "hp")) -> dict[int, tuple]:
+    """For each pattern the last place (h, hp) in seeded order at which the running size stays within the quota.
+
+    Histograms of the first key narrow the place down; where more than ``SMALL_BIN`` rows
+    share all bits of it (equal texts), the next key goes on.
+    """
+    spark, key, top = rows.sparkSession, keys[0], 1 << HASH_BITS
+    found: dict[int, tuple] = {}
+    state = dict.fromkeys(quota, (0, 0))  # bin of the cut at this level, words before it
     bits = 0
     while state:
         shift = HASH_BITS - bits
-        if bits:
-            here = F.broadcast(spark.createDataFrame([(p, b) for p, (b, _) in state.items()], "pattern int, bin long"))
-            inside = rows.withColumn("bin", F.shiftrightunsigned("h", shift)).join(here, ["pattern", "bin"])
-        else:
-            inside = rows.join(F.broadcast(spark.createDataFrame([(p,) for p in state], "pattern int")), "pattern")
-        small = {r["pattern"]: r["n"] for r in inside.groupBy("pattern").agg(F.count("*").alias("n")).collect()}
-        deep = {p for p in state if small.get(p, 0) > SMALL_BIN and bits + BIN_BITS < HASH_BITS}
-        done = {p: state[p] for p in state if p not in deep}
+        here = F.broadcast(spark.createDataFrame([(p, b, quota[p] - w) for p, (b, w) in state.items()], "pattern int, bin long, left long"))
+        inside = rows.join(here, "pattern").filter(F.shiftrightunsigned(key, shift) == F.col("bin"))
+        count = {r["pattern"]: r["n"] for r in inside.groupBy("pattern").agg(F.count("*").alias("n")).collect()}
+        many = {p for p in state if count.get(p, 0) > SMALL_BIN}
+        deep = many if bits < HASH_BITS else set()
+        ties = many - deep if len(keys) > 1 else set()
+        done = state.keys() - deep - ties
         if done:
-            lefts = spark.createDataFrame([(p, quota[p] - before) for p, (_, before) in done.items()], "pattern int, left long")
-            order = Window.partitionBy("pattern").orderBy("h", "id", "size")
-            last = (
-                inside.join(F.broadcast(lefts), "pattern")
-                .withColumn("run", F.sum("size").over(order))
-                .filter("run <= left")
-                .groupBy("pattern")
-                .agg(F.max(F.struct("h", F.col("id").isNotNull().alias("known"), "id", "size")).alias("k"))
-            )
-            got = {r["pattern"]: (r["k"]["h"], r["k"]["id"], r["k"]["size"]) for r in last.collect()}
-            for p, (b, _) in done.items():
-                found[p] = got.get(p, ((b << shift) - 1, None, None))
+            order = Window.partitionBy("pattern").orderBy(*keys)
+            last = inside.filter(F.col("pattern").isin(sorted(done)) if deep or ties else F.lit(True))
+            last = last.withColumn("run", F.sum("size").over(order)).filter("run <= left").groupBy("pattern").agg(F.max(F.struct(*keys)).alias("k"))
+            got = {r["pattern"]: tuple(r["k"]) for r in last.collect()}
+            for p in done:
+                found[p] = got.get(p, ((state[p][0] << shift) - 1, *[top] * (len(keys) - 1)))
+        if ties:
+            same = _cuts(inside.filter(F.col("pattern").isin(sorted(ties))).drop("bin", "left"), {p: quota[p] - state[p][1] for p in ties}, keys[1:])
+            found |= {p: (state[p][0], *cut) for p, cut in same.items()}
         if not deep:
             break
-        bins = inside.filter(F.col("pattern").isin(list(deep)) if len(deep) < len(state) and len(deep) < 1000 else F.lit(True))
-        sums = bins.groupBy("pattern", F.shiftrightunsigned("h", shift - BIN_BITS).alias("bin")).agg(F.sum("size").alias("w"))
-        lefts = spark.createDataFrame([(p, quota[p] - state[p][1]) for p in deep], "pattern int, left long")
+        sums = inside.filter(F.col("pattern").isin(sorted(deep)) if len(deep) < len(state) else F.lit(True))
+        sums = sums.groupBy("pattern", F.shiftrightunsigned(key, shift - BIN_BITS).alias("bin")).agg(F.sum("size").alias("w"), F.max("left").alias("left"))
         run = F.sum("w").over(Window.partitionBy("pattern").orderBy("bin"))
-        over = (
-            sums.join(F.broadcast(lefts), "pattern").withColumn("run", run).filter("run > left")
-            .groupBy("pattern").agg(F.min(F.struct("bin", "run", "w")).alias("k"))
-        )
+        over = sums.withColumn("run", run).filter("run > left").groupBy("pattern").agg(F.min(F.struct("bin", "run", "w")).alias("k"))
         got = {r["pattern"]: r["k"] for r in over.collect()}
-        for p in deep:
-            if p not in got:  # all of it fits
-                found[p] = (1 << HASH_BITS, None, None)
+        found |= {p: (top,) * len(keys) for p in deep if p not in got}  # all of it fits
         state = {p: (k["bin"], state[p][1] + k["run"] - k["w"]) for p, k in got.items()}
         bits += BIN_BITS
     return found
 
 
-def mix_sources(
-    docs: DataFrame,
-    members_col: str | None = None,
-    weights: tuple[float, ...] = WEIGHTS,
-    repeat: int = MAX_REPEAT,
-    seed: int = SEED,
-    fill_passes: int = 3,
-    targets: dict | None = None,
-) -> DataFrame:
-    """(id, source, size, source_size, target, taken) of each document.
+class Mix:
+    """What the flow and the cuts decide, as one row for each membership pattern."""
 
-    ``members_col`` names an array of sources where documents belong to several;
-    without it, each belongs to its ``source``.  ``taken`` is the document's size
-    times how often the mix uses it, at most ``repeat`` times.  After the cut in
-    seeded order, ``fill_passes`` further cuts among smaller documents close the gap,
-    and then the same among documents already in use, up to ``repeat`` times.
-    """
-    spark = docs.sparkSession
-    members = F.array_sort(F.array_distinct(members_col)) if members_col else F.array(F.col("source").cast("string"))
-    base = sized(docs, seed=seed, extra=[members.alias("members")])
-    base = stored(spark, base, "sized")
-    found = base.groupBy("members").agg(F.sum("size").alias("words")).limit(MAX_PATTERNS + 1).collect()
+    def __init__(self, spark: SparkSession, repeat: int):
+        self.spark, self.repeat = spark, repeat
+        self.plan: list[tuple] = []  # (key, pattern, whole uses, size and target of the first source)
+        self.marks: dict[int, list[tuple]] = {}  # pattern to (use, gap, h, hp) of each pass
+
+    def attach(self, rows: DataFrame) -> DataFrame:
+        """Rows of ``sized`` with pattern, source_size, target and times, how often the mix takes a row."""
+        table = [(*p, self.marks.get(p[1], [])) for p in self.plan]
+        kind = "key string, pattern int, whole int, source_size long, target double, marks array<struct<use:int,gap:long,h:long,hp:long>>"
+        joined = rows.join(F.broadcast(self.spark.createDataFrame(table, kind)), "key")  # MAX_PATTERNS rows at most
+
+        def step(extra: Column, m: Column) -> Column:
+            before = (F.col("h") < m["h"]) | ((F.col("h") == m["h"]) & (F.col("hp") <= m["hp"]))
+            free = (extra == m["use"]) & (F.col("whole") + extra < self.repeat)
+            return extra + (free & before & (F.col("size") > 0) & (F.col("size") <= m["gap"])).cast("int")
+
+        extra = F.aggregate("marks", F.lit(0), step)
+        return joined.withColumn("extra", extra).withColumn("times", F.col("whole") + F.col("extra")).drop("marks")
+
+
+def decide(
+    base: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeat: int = MAX_REPEAT, fill_passes: int = 3, targets: dict | None = None
+) -> Mix:
+    """The mix of the rows of ``sized``, which are read several times."""
+    spark = base.sparkSession
+    found = base.groupBy("key").agg(F.first("members").alias("members"), F.sum("size").alias("words")).limit(MAX_PATTERNS + 1).collect()
     if len(found) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
     patterns = {tuple(r["members"]): r["words"] for r in found}
+    names = {tuple(r["members"]): r["key"] for r in found}
     sizes: dict = {}
     for p, words in patterns.items():
         for s in p:
@@ -217,14 +266,12 @@ def mix_sources(
     goal = targets or quotas(sizes, weights, repeat)
     given = route(patterns, goal, repeat)
     number = {p: i for i, p in enumerate(sorted(patterns, key=lambda p: [(s is None, s or "") for s in p]))}
-    table = [
-        (_key(p), number[p], given[p] // w if w else 0, sizes.get(p[0], 0) if p else 0, float(goal.get(p[0], 0.0)) if p else 0.0)
+    mix = Mix(spark, repeat)
+    mix.plan = [
+        (names[p], number[p], given[p] // w if w else 0, sizes.get(p[0], 0) if p else 0, float(goal.get(p[0], 0.0)) if p else 0.0)
         for p, w in patterns.items()
     ]
-    plan = spark.createDataFrame(table, "key string, pattern int, whole long, source_size long, target double")
-    key = F.array_join(F.transform("members", lambda m: F.coalesce(F.hex(F.encode(m, "utf-8")), F.lit("-"))), ",")
-    rows = base.withColumn("key", key).join(F.broadcast(plan), "key").drop("key", "members").withColumn("extra", F.lit(0))
-    left = {number[p]: given[p] - (given[p] // w) * w for p, w in patterns.items() if w and given[p] % w}
+    left = {number[p]: given[p] % w for p, w in patterns.items() if w and given[p] % w}
     asked = {number[p]: given[p] for p in patterns}
     for use in range(repeat):  # documents not chosen yet come first; where those left are too long, chosen ones are used again
         for _ in range(1 + fill_passes if use == 0 else fill_passes):
@@ -233,24 +280,55 @@ def mix_sources(
                 break
             gaps = F.broadcast(spark.createDataFrame(list(left.items()), "pattern int, gap long"))
             free = (F.col("extra") == use) & (F.col("whole") + F.col("extra") < repeat)
-            usable = rows.filter((F.col("size") > 0) & free).join(gaps, "pattern").filter("size <= gap").drop("gap")
-            marks = [(p, left[p], h, None if i is None else int(i), z) for p, (h, i, z) in _cuts(usable, left).items()]
-            marks = spark.createDataFrame(marks, "pattern int, gap long, ch long, cid long, cz long")
-            hit = F.coalesce(free & (F.col("size") <= F.col("gap")) & _before(F.col("ch"), F.col("cid"), F.col("cz")), F.lit(False))
-            marked = rows.join(F.broadcast(marks), "pattern", "left").withColumn("hit", hit)
-            for r in marked.filter("hit").groupBy("pattern").agg(F.sum("size").alias("w")).collect():
-                left[r["pattern"]] -= r["w"]
-            rows = marked.withColumn("extra", F.col("extra") + F.col("hit").cast("int")).drop("gap", "ch", "cid", "cz", "hit")
-    return rows.select(
-        "id", "source", "size", "source_size", "target",
-        (F.col("size") * (F.col("whole") + F.col("extra"))).cast("long").alias("taken"),
-    )
+            usable = mix.attach(base).filter(free & (F.col("size") > 0)).join(gaps, "pattern").filter("size <= gap").select("pattern", "size", "h", "hp")
+            cuts = _cuts(usable, left)
+            marks = spark.createDataFrame([(p, *cut) for p, cut in cuts.items()], "pattern int, ch long, chp long")
+            hit = usable.join(F.broadcast(marks), "pattern").filter("h < ch or (h = ch and hp <= chp)")
+            words = {r["pattern"]: r["w"] for r in hit.groupBy("pattern").agg(F.sum("size").alias("w")).collect()}
+            for p, cut in cuts.items():
+                mix.marks.setdefault(p, []).append((use, left[p], *cut))
+            left = {p: n - words.get(p, 0) for p, n in left.items()}
+    return mix
 
 
-def _before(h, i, z) -> F.Column:
-    """The row is at or before the mark in seeded order; ids that are null come first, as in Spark's sort."""
-    own = F.col("id")
-    return (F.col("h") < h) | (
-        (F.col("h") == h) & z.isNotNull()
-        & F.coalesce(own.isNull() | (own < i) | ((own == i) & (F.col("size") <= z)), own.isNull())
-    )
+def _members(members_col: str | None) -> Column:
+    """The sources of a row; a null list has none."""
+    if members_col is None:
+        return F.array(F.col("source").cast("string"))
+    return F.coalesce(F.array_sort(F.array_distinct(F.col(members_col).cast("array<string>"))), F.array().cast("array<string>"))
+
+
+def mix_sources(
+    docs: DataFrame,
+    members_col: str | None = None,
+    weights: tuple[float, ...] = WEIGHTS,
+    repeat: int = MAX_REPEAT,
+    seed: int = SEED,
+    fill_passes: int = 3,
+    targets: dict | None = None,
+) -> DataFrame:
+    """(id, source, size, source_size, target, taken) of each document.
+
+    ``members_col`` names an array of sources where documents belong to several;
+    without it, each belongs to its ``source``.  ``taken`` is the document's size
+    times how often the mix uses it, at most ``repeat`` times.  After the cut in
+    seeded order, ``fill_passes`` further cuts among smaller documents close the gap,
+    and then the same among documents already in use, up to ``repeat`` times.
+    """
+    base = sized(docs, F.monotonically_increasing_id(), F.col("doc_id"), F.col("text"), F.col("source"), _members(members_col), [F.col("doc_id").alias("id")], seed)
+    base = stored(docs.sparkSession, base, "sized")
+    rows = decide(base, weights, repeat, fill_passes, targets).attach(base)
+    return rows.select("id", "source", "size", "source_size", "target", (F.col("size") * F.col("times")).cast("long").alias("taken"))
+
+
+def repeat_rows(docs: DataFrame, **kwargs) -> DataFrame:
+    """The documents as often as the mix takes each, with all their columns; those without words are never taken.
+
+    Rows are known by their place in their files, so neither ids nor texts are
+    shuffled: the decisions of a pattern are sent to where its rows are read.
+    """
+    rows = positioned(docs)
+    parts = (F.col("key"), F.col("row.doc_id"), F.col("row.text"), F.col("row.source"), F.array(F.col("row.source").cast("string")))
+    mix = decide(stored(docs.sparkSession, sized(rows, *parts, []), "sized"), **kwargs)
+    taken = mix.attach(sized(rows, *parts, [F.col("row")])).filter("times > 0 and size > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")

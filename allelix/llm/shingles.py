@@ -6,8 +6,24 @@ in a band are candidates (a pair of similarity 0.8 agrees in none with probabili
 2e-4), those whose 64 minima agree in too few are left out (3e-5 of such pairs), and
 the others are linked if the similarity of their whole sets is 0.8 or more.
 
+Links are only wanted for the classes that they make, so a large group of near
+copies must not cost all its pairs.  In a first round each text is compared with its
+next neighbours in every bucket, buckets sorted by the minima in an order of the
+band's own: a few pairs for each text, whatever the size of its buckets.  What this
+links becomes classes.  In the second round only pairs of different classes that
+share a bucket are compared; buckets of one class, which those of large groups have
+become, are left out before any pair is made.  No candidate pair that could join
+two classes is passed over, so texts that agree in most minima and yet have less
+than the similarity wanted, and are not linked by way of others, cost all their pairs.
+
+Scale: sets are named by 64-bit hashes, which a false merge takes to be equal.  The
+first round deals rows by range, so that a hot bucket spreads over tasks; the second
+deals the most frequent class of a bucket over parts of ``PART`` rows, with the rows
+of the bucket's other classes sent to each part.
+
 Defined results: words are parted and lower-cased as by SimHash; fewer than five
-words are one shingle; a text without words or a row without an id has no link.
+words are one shingle; a text without words has no name and no link; ids are carried
+along, null or repeated ones too.
 """
 
 from __future__ import annotations
@@ -21,12 +37,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, NONSPACE, Roller, mix, stored, text_blocks, word_spans
+from .simhash import components
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 16, 4
 #: Least share of equal minima of a pair whose sets are compared.
 MAYBE = 0.6
 CHUNK = 4096
+#: Next rows that a row is compared with in the first round, and rows of a bucket's most frequent class in one part of the second.
+NEXT, PART = 2, 4096
 _RNG = np.random.default_rng(42)
 _A = _RNG.integers(1, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _B = _RNG.integers(1, 2**64, BANDS * ROWS, dtype=np.uint64)
@@ -63,58 +82,93 @@ def _name(hashes: np.ndarray) -> int:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (name of the set, doc_id, band keys, a byte of each minimum)."""
-    roller, names = Roller(fold=LOWER), ["name", "doc_id", "bands", "sketch"]
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    """(doc_id, text) to (doc_id, name of the set, band keys, a byte of each minimum); null name for no words."""
+    roller, names = Roller(fold=LOWER), ["doc_id", "name", "bands", "sketch"]
+    kinds = [pa.int64(), pa.binary(), pa.binary()]
     for batch in batches:
         for lo, hi, data, offsets in text_blocks(batch.column(1)):
             rows = []
-            for i, hashes in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), sets_of(data, offsets, roller)):
+            for hashes in sets_of(data, offsets, roller):
                 if len(hashes):
                     m = minima(hashes)
                     bands = mix((m.reshape(BANDS, ROWS) * _PLACE[:ROWS]).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
-                    rows.append((_name(hashes), i, bands.tobytes(), mix(m).astype(np.uint8).tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+                    rows.append((_name(hashes), bands.tobytes(), mix(m).astype(np.uint8).tobytes()))
+                else:
+                    rows.append((None, None, None))
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *columns], names)
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """(doc_id, name, bands, sketch) of every document; doc_id is of any type."""
+    texts = docs.select("doc_id", "text")
+    return texts.mapInArrow(_sketches, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, name long, bands binary, sketch binary")
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(name, bands, sketch) to a row for each band; its sketch begins with the minima of the next band."""
     for batch in batches:
         if batch.num_rows:
             bands = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64).reshape(-1, BANDS)
+            sketch = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
             for k in range(BANDS):
-                yield pa.RecordBatch.from_arrays([pa.array(bands[:, k]), batch.column(0), batch.column(2)], ["key", "name", "sketch"])
+                turned = pa.array([x.tobytes() for x in np.roll(sketch, -ROWS * (k + 1), 1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(bands[:, k]), batch.column(0), turned], ["key", "name", "sketch"])
+
+
+def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a == b).mean(-1) >= MAYBE
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by band key to the pairs of each key whose minima agree often enough."""
+def _grid(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
 
-    def pairs(key: np.ndarray, name: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
-        live, d = np.arange(len(key) - 1), 1
-        while len(live):
-            live = live[live + d < len(key)]
-            live = live[key[live] == key[live + d]]
-            for a in range(0, len(live), CHUNK):
-                x = live[a : a + CHUNK]
-                x = x[(sketch[x] == sketch[x + d]).mean(1) >= MAYBE]
-                lo, hi = np.minimum(name[x], name[x + d]), np.maximum(name[x], name[x + d])
-                yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], ["a", "b"])
-            d += 1
+
+def _pair(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, sketch) to pairs of near rows of a key whose minima agree often enough."""
+    key, name, sketch = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, BANDS * ROWS), np.uint8)
+    for batch in batches:
+        old = len(key)
+        key, name = np.concatenate([key, batch.column(0).to_numpy()]), np.concatenate([name, batch.column(1).to_numpy()])
+        sketch = np.concatenate([sketch, _grid(batch.column(2))])
+        for d in range(1, NEXT + 1):
+            x = np.arange(max(old - d, 0), len(key) - d)
+            x = x[key[x] == key[x + d]]
+            x = x[_alike(sketch[x], sketch[x + d])]
+            yield _pair(name[x], name[x + d])
+        key, name, sketch = key[-NEXT:], name[-NEXT:], sketch[-NEXT:]
+
+
+def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, part, main, name, root, sketch), those of a part together, to its pairs of different classes; ``main`` marks the most frequent class."""
+
+    def pairs(rows: list) -> Iterator[pa.RecordBatch]:
+        main, name, root, sketch = (np.concatenate(c) for c in zip(*rows))
+        for k in np.flatnonzero(~main).tolist():
+            other = np.flatnonzero((root != root[k]) & (main | (np.arange(len(name)) > k)))
+            other = other[_alike(sketch[other], sketch[k])]
+            yield _pair(name[other], np.full(len(other), name[k]))
 
     held: list[tuple[np.ndarray, ...]] = []
+    last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        sketch = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
-        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), sketch))
-        if held[-1][0][0] == held[-1][0][-1]:
-            continue  # the bucket may go on
-        rows = [np.concatenate(c) for c in zip(*held)]
-        cut = int(np.searchsorted(rows[0], rows[0][-1]))
-        yield from pairs(*(c[:cut] for c in rows))
-        held = [tuple(c[cut:] for c in rows)]
+        key, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        columns = [batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy(), batch.column(4).to_numpy(), _grid(batch.column(5))]
+        edges = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1
+        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(key)]):
+            if last is not None and last != (key[a], part[a]):
+                yield from pairs(held)
+                held = []
+            last = (key[a], part[a])
+            held.append(tuple(c[a:b] for c in columns))
     if held:
-        yield from pairs(*(np.concatenate(c) for c in zip(*held)))
+        yield from pairs(held)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,25 +188,43 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], ["a", "b"])
 
 
-def similar_pairs(docs: DataFrame) -> DataFrame:
-    """(a, b): ids of texts whose sets of shingles have a similarity of ``SIMILAR`` or more; of equal sets, the smallest id stands for the others."""
+def _similar(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of names whose whole sets have a similarity of ``SIMILAR`` or more."""
     spark = docs.sparkSession
-    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    sketches = stored(spark, texts.mapInArrow(_sketches, "name long, doc_id long, bands binary, sketch binary"), "sketches")
-    reps = sketches.groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch"))
-    reps = stored(spark, reps, "reps")
-    ways = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    rows = reps.select("name", "bands", "sketch").mapInArrow(_banded, "key long, name long, sketch binary")
-    found = rows.repartition(ways, "key").sortWithinPartitions("key").mapInArrow(_pairs, "a long, b long")
-    found = stored(spark, found.distinct(), "candidates")
-    wanted = found.select(F.col("a").alias("name")).unionByName(found.select(F.col("b").alias("name"))).distinct()
-    ids = stored(spark, reps.join(wanted, "name").select("doc_id", "name"), "wanted")
-    sets = texts.join(ids, "doc_id").select("name", "text").mapInArrow(_sets, "name long, hashes binary")
-    sets = stored(spark, sets.groupBy("name").agg(F.min("hashes").alias("hashes")), "sets")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+    ids = stored(spark, reps.select("name", "doc_id").join(wanted, "name"), "wanted")
+    texts = docs.select("doc_id", "text").join(ids, "doc_id")
+    sets = texts.select("name", "text").mapInArrow(_sets, "name long, hashes binary")
+    sets = stored(spark, sets.groupBy("name").agg(F.first("hashes").alias("hashes")), "sets")
     side = lambda end: sets.select(F.col("name").alias(end), F.col("hashes").alias(f"{end}_hashes"))
-    pairs = found.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_hashes", "b_hashes").mapInArrow(_verified, "a long, b long")
-    named = lambda end: ids.select(F.col("name").alias(end), F.col("doc_id").alias(f"{end}_id"))
-    near = pairs.join(named("a"), "a").join(named("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-    least = reps.select("name", F.col("doc_id").alias("a"))
-    equal = sketches.select("name", F.col("doc_id").alias("b")).join(least, "name").filter("a <> b").select("a", "b")
-    return near.unionByName(equal)
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_hashes", "b_hashes")
+    return stored(spark, rows.mapInArrow(_verified, "a long, b long"), "similar")
+
+
+def similar_pairs(docs: DataFrame, sketched: DataFrame) -> DataFrame:
+    """(a, b): links of names whose classes are those of all links by similarity.
+
+    ``sketched`` is what ``sketches`` gives for ``docs``; the ids of ``docs`` are not null.
+    """
+    spark = docs.sparkSession
+    ways = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    named = sketched.filter("name is not null")
+    reps = named.groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    reps = stored(spark, reps, "reps")
+    rows = stored(spark, reps.select("name", "bands", "sketch").mapInArrow(_banded, "key long, name long, sketch binary"), "banded")
+    crowd = stored(spark, rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "crowd")
+    rows = stored(spark, rows.join(crowd, "key").select("key", "name", "sketch"), "shared")
+    near = rows.repartitionByRange(ways, "key", "sketch").sortWithinPartitions("key", "sketch").mapInArrow(_neighbours, "a long, b long")
+    first = _similar(stored(spark, near.distinct(), "near"), docs, reps)
+    roots = components(first).withColumnRenamed("node", "name")
+    rows = rows.join(roots, "name", "left").select("key", "name", "sketch", F.coalesce("root", "name").alias("root"))
+    rows = stored(spark, rows, "classed")
+    counts = rows.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key")
+    mixed = counts.agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("classes")).filter("classes > 1")
+    mixed = stored(spark, mixed.select("key", F.col("top.root").alias("top"), (F.col("top.n") / PART).cast("int").alias("more")), "mixed")
+    joined = rows.join(mixed, "key").withColumn("main", F.col("root") == F.col("top"))
+    dealt = F.array(F.pmod(F.xxhash64("name"), F.col("more") + 1).cast("int"))
+    parts = F.when(F.col("main"), dealt).otherwise(F.sequence(F.lit(0), "more"))
+    joined = joined.select("key", F.explode(parts).alias("part"), "main", "name", "root", "sketch")
+    cross = joined.repartition(ways, "key", "part").sortWithinPartitions("key", "part").mapInArrow(_crossing, "a long, b long").distinct()
+    return first.unionByName(_similar(stored(spark, cross, "crossing"), docs, reps))

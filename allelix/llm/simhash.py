@@ -11,15 +11,19 @@ number of pairs at each distance.
 
 Candidates share a bucket (partition, value).  A bucket is verified in place and
 gives back only a spanning forest of its links, so a group of n near copies costs
-n rows and not n * n.  Buckets above ``HOT`` members are split by a second
-pigeonhole over the other bits.  Components come from repeated hooking and
-pointer jumping on stored edge tables; nothing of the size of the corpus reaches
-the driver.
+n rows and not n * n.  Buckets above ``HOT`` members are split by further
+pigeonholes over the bits that are left, again and again while parts are above it,
+so that no task holds more than ``HOT`` rows of a bucket; inside a task, runs above
+``SMALL`` rows are split in the same way before their members are compared.
+Components come from repeated hooking and pointer jumping on stored edge tables;
+nothing of the size of the corpus reaches the driver.
 
 Defined results: a null or empty text, or one without words, has fingerprint 0,
 linked like any other; fewer than three words are one shingle; repeated rows each
-give a row; a row whose id is null gets the component of its fingerprint (null
-if no other row has it); an empty table gives an empty result.
+give a row.  Distinct fingerprints are what is linked, so rows without an id, and
+fingerprints that only such rows have, link like others; the component of a row is
+the smallest id that is not null in it, null where there is none.  An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,14 +37,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, stored, text_blocks
+from .common import LOWER, mix, stored, text_blocks
 
 TAU = 3
 PARTS, WIDTH = 4, 16
-HOT = 2000
+HOT, SMALL = 1 << 17, 256
 SHINGLE = 3
 _LOWER = LOWER.tobytes()
 CHUNK = 1 << 18
+#: Splits of a hot bucket; the bits left shrink by a quarter each time, from 48.
+LEVELS = 4
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = 42) -> int:
@@ -65,7 +71,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every document; fp is the fingerprint as a signed 64-bit integer."""
+    """(doc_id, fp) of every document; fp is the fingerprint as a signed 64-bit integer, doc_id of any type."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,7 +80,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 fps = np.array([fingerprint(body[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], np.uint64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    texts = docs.select("doc_id", "text")
+    return texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def _bit_matrix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,118 +159,161 @@ def _take_bits(fp: np.ndarray, bits: list[int]) -> np.ndarray:
 
 
 def _signatures(groups: list[list[int]], thresholds: list[int]):
+    """(fp) to (key, path, sub, fp, probe): a row for each bucket of a fingerprint; nothing is split yet."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, rep = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            fp = batch.column(0).to_numpy().view(np.uint64)
+            none = np.zeros(len(fp), np.int64)
             for i, (bits, t) in enumerate(zip(groups, thresholds)):
                 if t < 0:
                     continue
                 value = _take_bits(fp, bits)
                 flips = [(0, False)] + [(sum(1 << b for b in c), True) for d in range(1, t + 1) for c in combinations(range(WIDTH), d)]
                 for flip, probe in flips:
-                    key = (i << 32) | (value ^ flip)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key), pa.array(fp.view(np.int64)), pa.array(rep), pa.array(np.full(len(fp), probe))], ["key", "fp", "rep", "probe"]
-                    )
+                    columns = [(i << 32) | (value ^ flip), none, none, fp.view(np.int64), np.full(len(fp), probe)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], BUCKET)
 
     return run
 
 
-def _split_hot(groups: list[list[int]]):
-    """Second pigeonhole for hot buckets, over the 48 bits outside the bucket's partition.
+BUCKET = ["key", "path", "sub", "fp", "probe"]
+BUCKETS = "key long, path long, sub long, fp long, probe boolean"
+
+
+def _quarters(bits: list[int]) -> list[list[int]]:
+    return [bits[k * len(bits) // PARTS : (k + 1) * len(bits) // PARTS] for k in range(PARTS)]
+
+
+def _rest(groups: list[list[int]], key: int, path: int) -> list[int]:
+    """Bits in which members of a bucket may differ, after the splits that ``path`` names (a digit of 1 to 4 for each)."""
+    rest = [b for b in range(64) if b not in groups[key >> 32]]
+    for k in range(len(oct(path)) - 3, -1, -1) if path else ():
+        gone = _quarters(rest)[(path >> 3 * k & 7) - 1]
+        rest = [b for b in rest if b not in gone]
+    return rest
 
-    Sub-partitions are four groups of 12 of those bits: within TAU of each other,
-    two members agree in at least one.  (Probe rows differ inside the partition
+
+def _split(groups: list[list[int]]):
+    """Hot buckets to their parts, by one more pigeonhole.
+
+    The bits that are left fall into four groups: within TAU = 3 of each other, two
+    members agree in at least one.  (Probe rows differ inside the partition
     only, which is allowed for by comparing whole fingerprints.)
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-            part = key >> 32
-            for i in np.unique(part):
-                rows = np.flatnonzero(part == i)
-                rest = [b for b in range(64) if b not in groups[i]]
-                for k in range(PARTS):
-                    sub = (np.int64(k + 1) << 48) | _take_bits(fp[rows], rest[12 * k : 12 * k + 12])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key[rows]), pa.array(sub), *(batch.column(c).take(pa.array(rows)) for c in (1, 2, 3))],
-                        ["key", "sub", "fp", "rep", "probe"],
-                    )
+            key, path, sub, fp = (batch.column(k).to_numpy() for k in range(4))
+            kind, which = np.unique(np.stack([key >> 32, path]), axis=1, return_inverse=True)
+            for n, (i, p) in enumerate(kind.T.tolist()):
+                rows = np.flatnonzero(which.ravel() == n)
+                for k, bits in enumerate(_quarters(_rest(groups, i << 32, p))):
+                    value = _take_bits(fp[rows].view(np.uint64), bits).view(np.uint64)
+                    name = mix(mix(sub[rows].view(np.uint64) + np.uint64(8 * p + k + 1)) ^ value).view(np.int64)
+                    taken = pa.array(rows)
+                    columns = [batch.column(0).take(taken), pa.array(np.full(len(rows), 8 * p + k + 1)), pa.array(name), batch.column(3).take(taken), batch.column(4).take(taken)]
+                    yield pa.RecordBatch.from_arrays(columns, BUCKET)
 
     return run
 
 
-def _forest(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, probe: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning-forest edges of the links inside each run of equal keys (rows are sorted by key).
+class Forest:
+    """Spanning-forest edges of the links among rows; a link whose ends are connected already is not kept."""
 
-    Rows at distance d in the run are compared for d = 1, 2, ...; a link whose ends
-    are already connected is not kept, so the edges stay fewer than the rows.
-    """
-    n = len(key)
-    parent = np.arange(n)
-    nodes, same = np.unique(np.stack([key, rep], 1), axis=0, return_inverse=True) if probe.any() else (None, None)
-    if same is not None:  # an index row and a probe row of one fingerprint are one node
-        firsts = np.full(len(nodes), n)
-        np.minimum.at(firsts, same.ravel(), np.arange(n))
-        parent = firsts[same.ravel()]
-
-    def find(x: int) -> int:
+    def __init__(self, fp: np.ndarray, probe: np.ndarray, tau: int):
+        self.fp, self.probe, self.tau = fp, probe, tau
+        nodes, self.node = np.unique(fp, return_inverse=True)  # an index row and a probe row of one fingerprint are one node
+        self.parent = np.arange(len(nodes))
+        self.a, self.b = [], []
+
+    def _find(self, x: int) -> int:
+        parent = self.parent
         while parent[x] != x:
             parent[x] = parent[parent[x]]
             x = parent[x]
         return int(x)
 
-    a_out, b_out, live, d = [], [], np.arange(n - 1), 1
-    while len(live):
-        live = live[live + d < n]
-        live = live[key[live] == key[live + d]]
-        link = live[np.bitwise_count(fp[live] ^ fp[live + d]) <= tau]
-        link = link[~(probe[link] & probe[link + d]) & (parent[link] != parent[link + d])]
-        for x in link.tolist():
-            p, q = find(x), find(x + d)
-            if p != q:
-                parent[max(p, q)] = min(p, q)
-                a_out.append(x)
-                b_out.append(x + d)
-        if len(link):
-            while True:
-                jump = parent[parent]
-                if (jump == parent).all():
-                    break
-                parent = jump
-        d += 1
-    return rep[a_out], rep[b_out]
-
-
-def _verify(tau: int):
+    def _flatten(self) -> None:
+        while not ((jump := self.parent[self.parent]) == self.parent).all():
+            self.parent = jump
+
+    def runs(self, rows: np.ndarray, run: np.ndarray) -> None:
+        """Compares all rows of each run; rows at distance d for d = 1, 2, ..."""
+        fp, probe = self.fp[rows], self.probe[rows]
+        live, d = np.arange(len(rows) - 1), 1
+        while len(live):
+            live = live[live + d < len(rows)]
+            live = live[run[live] == run[live + d]]
+            link = live[np.bitwise_count(fp[live] ^ fp[live + d]) <= self.tau]
+            link = link[~(probe[link] & probe[link + d])]
+            root = self.parent[self.node[rows]]
+            link = link[root[link] != root[link + d]] if len(link) else link
+            for x in link.tolist():
+                p, q = self._find(self.node[rows[x]]), self._find(self.node[rows[x + d]])
+                if p != q:
+                    self.parent[max(p, q)] = min(p, q)
+                    self.a.append(fp[x])
+                    self.b.append(fp[x + d])
+            if len(link):
+                self._flatten()
+            d += 1
+
+    def bucket(self, rows: np.ndarray, bits: list[int]) -> None:
+        """All rows of one bucket, which may differ in ``bits`` (and, probes, in the bucket's own)."""
+        if len(rows) <= SMALL:
+            return self.runs(rows, np.zeros(len(rows), np.int8))
+        if (self.parent[self.node[rows]] == self.parent[self.node[rows[0]]]).all():
+            return None  # connected already
+        fp = self.fp[rows]
+        differ = int(np.bitwise_or.reduce(fp ^ fp[0]))
+        bits = [b for b in bits if differ >> b & 1]
+        if len(bits) < PARTS:
+            return self.runs(rows, np.zeros(len(rows), np.int8))
+        for group in _quarters(bits):
+            value = _take_bits(fp, group)
+            order = np.argsort(value, kind="stable")
+            run = np.concatenate([[0], np.cumsum(np.diff(value[order]) != 0)])
+            size = np.bincount(run)
+            small = size[run] <= SMALL
+            self.runs(rows[order][small], run[small])
+            for k in np.flatnonzero(size > SMALL).tolist():
+                self.bucket(rows[order][run == k], [b for b in bits if b not in group])
+
+
+def _verify(groups: list[list[int]], tau: int):
+    """Rows sorted by bucket to spanning-forest edges (a, b) of the links inside the buckets."""
+
+    def links(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        key, path, sub, fp, probe = rows
+        forest = Forest(fp, probe, tau)
+        run = np.concatenate([[0], np.cumsum((key[1:] != key[:-1]) | (path[1:] != path[:-1]) | (sub[1:] != sub[:-1]))])
+        first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+        size = np.diff(np.concatenate([first, [len(run)]]))
+        small = np.flatnonzero((size <= SMALL)[run])
+        forest.runs(small, run[small])
+        for k in np.flatnonzero(size > SMALL).tolist():
+            at = first[k]
+            forest.bucket(np.arange(at, at + size[k]), _rest(groups, int(key[at]), int(path[at])))
+        return pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in (forest.a, forest.b)], ["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
-
-        def links(rows):
-            key, sub, fp, rep, probe = rows
-            run_id = np.zeros(len(key), np.int64)
-            if len(key):
-                run_id[1:] = np.cumsum((key[1:] != key[:-1]) | (sub[1:] != sub[:-1]))
-            a, b = _forest(run_id, fp, rep, probe, tau)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
         for batch in batches:
             if not batch.num_rows:
                 continue
             cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
-            cols[2] = cols[2].view(np.uint64)
+            cols[3] = cols[3].view(np.uint64)
             held.append(tuple(cols))
-            key, sub = cols[0], cols[1]
-            if key[0] == key[-1] and sub[0] == sub[-1]:
+            if all(c[0] == c[-1] for c in cols[:3]):
                 continue  # the bucket may go on
             rows = [np.concatenate(c) for c in zip(*held)]
-            edge = (rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1])
+            edge = np.any([c != c[-1] for c in rows[:3]], axis=0)
             cut = int(np.flatnonzero(edge)[-1]) + 1
-            yield links([c[:cut] for c in rows])
+            yield links(tuple(c[:cut] for c in rows))
             held = [tuple(c[cut:] for c in rows)]
         if held:
-            yield links([np.concatenate(c) for c in zip(*held)])
+            yield links(tuple(np.concatenate(c) for c in zip(*held)))
 
     return run
 
@@ -298,29 +348,42 @@ def components(edges: DataFrame) -> DataFrame:
     return found if found is not None else spark.createDataFrame([], "node long, root long")
 
 
-def near_duplicates(docs: DataFrame, tau: int = TAU, hot: int = HOT) -> DataFrame:
-    """(doc_id, fp, component_id) of every document; ``tau`` is at most 3 with four partitions."""
-    spark = docs.sparkSession
-    prints = stored(spark, fingerprints(docs), "prints")
-    reps = stored(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
-    known = reps.filter("rep is not null")
-    n = known.count()
+def links(fps: DataFrame, tau: int = TAU, hot: int = HOT) -> DataFrame:
+    """(a, b): spanning forests of the links among distinct fingerprints ``fp``; ``tau`` is at most 3 with four partitions."""
+    spark = fps.sparkSession
+    n = fps.count()
     joint = np.zeros((64, 64))
-    for r in known.select("fp").mapInArrow(_bit_matrix, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():
+    for r in fps.select("fp").mapInArrow(_bit_matrix, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():
         joint[r["i"], r["j"]] = r["n"]
     groups = group_bits(joint, n)
-    index = known.mapInArrow(_signatures(groups, [0] * PARTS), "key long, fp long, rep long, probe boolean")
+    index = fps.select("fp").mapInArrow(_signatures(groups, [0] * PARTS), BUCKETS)
     histograms = np.zeros((PARTS, 1 << WIDTH))
     for r in index.groupBy("key").agg(F.count("*").alias("n")).toLocalIterator():  # at most 4 * 2**16 rows
         histograms[r["key"] >> 32, r["key"] & 0xFFFF] = r["n"]
     thresholds = allocate([pairs_by_distance(h) for h in histograms], n, tau)
-    rows = known.mapInArrow(_signatures(groups, thresholds), "key long, fp long, rep long, probe boolean")
-    crowded = rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("key", F.lit(True).alias("crowded"))
-    marked = rows.join(crowded, "key", "left")
-    whole = marked.filter("crowded is null").select("key", F.lit(0).cast("long").alias("sub"), "fp", "rep", "probe")
-    parts = marked.filter("crowded").select("key", "fp", "rep", "probe").mapInArrow(_split_hot(groups), "key long, sub long, fp long, rep long, probe boolean")
-    ways = max(spark.conf.get("spark.sql.shuffle.partitions") and int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    buckets = whole.unionByName(parts).repartition(ways, "key", "sub").sortWithinPartitions("key", "sub")
-    roots = components(buckets.mapInArrow(_verify(tau), "a long, b long"))
-    classes = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    rows, ready = fps.select("fp").mapInArrow(_signatures(groups, thresholds), BUCKETS), None
+    for _ in range(LEVELS):  # after the last, 16 bits are left to differ in
+        crowded = rows.groupBy("key", "path", "sub").agg(F.count("*").alias("n")).filter(F.col("n") > hot).drop("n")
+        crowded = stored(spark, crowded.withColumn("crowded", F.lit(True)), "crowded")
+        if crowded.isEmpty():
+            break
+        marked = rows.join(crowded, ["key", "path", "sub"], "left")
+        whole = marked.filter("crowded is null").select(BUCKET)
+        ready = whole if ready is None else ready.unionByName(whole)
+        rows = stored(spark, marked.filter("crowded").select(BUCKET).mapInArrow(_split(groups), BUCKETS), "parts")
+    rows = rows if ready is None else ready.unionByName(rows)
+    ways = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    buckets = rows.repartition(ways, "key", "path", "sub").sortWithinPartitions("key", "path", "sub")
+    return buckets.mapInArrow(_verify(groups, tau), "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, tau: int = TAU, hot: int = HOT) -> DataFrame:
+    """(doc_id, fp, component_id) of every document."""
+    spark = docs.sparkSession
+    prints = stored(spark, fingerprints(docs.withColumn("doc_id", F.col("doc_id").cast("long"))), "prints")
+    reps = stored(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
+    roots = components(links(reps, tau, hot)).withColumnRenamed("node", "fp")
+    nodes = reps.join(roots, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    least = nodes.groupBy("root").agg(F.min("rep").alias("component_id"))
+    classes = nodes.join(least, "root").select("fp", "component_id")
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")

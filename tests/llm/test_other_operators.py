@@ -130,6 +130,55 @@ def test_mix_with_memberships(spark):
     assert len(got) == 300 and abs(sum(r["taken"] for r in got) - 700) < 20
 
 
+@pytest.mark.parametrize("small", [50_000, 5])
+def test_rows_without_ids_and_repeats_meet_the_target(spark, small, monkeypatch):
+    """A third of the rows are one row over and over, another third have no id; both are cut where the target is."""
+    monkeypatch.setattr(mixing, "SMALL_BIN", small)
+    rows = [(7, "five words of one row", "c")] * 2000 + [(None, "w " * (k % 7 + 2) + str(k), "d") for k in range(2000)] + [(k, "a b c", "ab"[k % 2]) for k in range(6000)]
+    df = spark.createDataFrame([(*r, None) for r in rows], "doc_id long, text string, source string, members array<string>")
+    got = mixing.mix_sources(df).collect()
+    for s in "abcd":
+        mine = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 0.002 * mine[0]["target"] + 3
+    none = mixing.mix_sources(df, members_col="members").collect()
+    assert len(none) == len(rows) and not any(r["taken"] for r in none)
+
+
+def test_flow_of_many_patterns_is_optimal_and_quick():
+    import time
+
+    rng = np.random.default_rng(3)
+    patterns = {}
+    for _ in range(3000):
+        patterns[tuple(sorted({f"s{int(x)}" for x in rng.integers(0, 40, rng.integers(1, 5))}))] = int(rng.integers(1, 1000))
+    total = sum(patterns.values())
+    began = time.time()
+    given_words = mixing.route(patterns, {f"s{k}": 2 * total / 40 for k in range(40)})
+    assert time.time() - began < 20 and abs(sum(given_words.values()) - 2 * total) <= 40
+    # convex costs: with every target within reach, no pattern is used a third time while another is not used twice
+    assert sum(max(0, g - 2 * patterns[p]) for p, g in given_words.items()) <= 0.1 * total
+
+
+def test_mixing_stage_keeps_columns_and_repeats_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(None if k % 3 == 0 else k // 2, "w " * (k % 5 + 1) + str(k), "ab"[k % 7 == 0], k, k, "x") for k in range(1500)] + [(1, None, None, 0, 0, "x"), (None, "", "a", 0, 0, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, id long, times int, copy string")
+    df.write.parquet(str(tmp_path / "d"))
+    for docs in (df, spark.read.parquet(str(tmp_path / "d"))):
+        out = corpus_pipeline.mix_to_weights(spark, docs, "")
+        assert out.columns == df.columns
+        got = Counter(map(tuple, out.collect()))
+        assert set(got) <= set(rows) and max(got.values()) <= 3
+        taken, size = Counter(), Counter()
+        for r in rows:
+            size[r[2]] += len((r[1] or "").split())
+            taken[r[2]] += len((r[1] or "").split()) * got[r]
+        want = mixing.quotas(size)
+        assert all(abs(taken[s] - want[s]) <= 0.002 * want[s] + 5 for s in want)
+    assert corpus_pipeline.mix_to_weights(spark, df.limit(0), "").collect() == []
+
+
 def test_cut_narrows_hot_bins(spark, monkeypatch):
     monkeypatch.setattr(mixing, "SMALL_BIN", 3)
     df = spark.createDataFrame([(k, "w " * (k % 5 + 1), "ab"[k % 7 == 0]) for k in range(3000)], "doc_id long, text string, source string")
@@ -263,7 +312,7 @@ def test_pipeline_stages(spark, docs, corpus, no_docs, tmp_path):
     near = spark.read.parquet(str(tmp_path / "simhash"))
     assert near.filter("doc_id = 135").count() <= 1
     clean = {r["doc_id"] for r in spark.read.parquet(str(tmp_path / "decontamination")).collect()}
-    assert 9 not in clean and None in clean and len(clean) > 80
+    assert 9 not in clean and None not in clean and len(clean) > 80  # the row without an id is a copy of document 5
     out = pipeline.run(spark, str(tmp_path / "a")).collect()
     assert len(out) == d.count() and {r["doc_id"] for r in out} == {r["doc_id"] for r in d.collect()}
     _tables(spark, str(tmp_path / "b"), no_docs, [], [])

@@ -12,65 +12,64 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from allelix.llm import decontam, mixing, shingles, simhash, tokens, toxicity
-from allelix.llm.common import load, stored
+from allelix.llm.common import load, positioned, stored
 from allelix.llm.queries import vocabulary_path
 
 
-def _kept(docs: DataFrame, drop: DataFrame) -> DataFrame:
-    """Documents whose id is not in ``drop`` (one column, doc_id); rows without an id stay.
-
-    The ids are written first, so that their size is known when the join is planned:
-    texts are only moved where the ids are too many to be sent to all tasks.
-    """
-    return docs.join(stored(docs.sparkSession, drop.distinct(), "drop"), "doc_id", "left_anti")
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Toxicity (3): documents that the model rejects go.  It learns from the labels of the stage's own documents."""
-    model = toxicity.train(docs, load(spark, sf_dir, "labels"))
-    return _kept(docs, toxicity.score(docs, model).filter("predicted = 1 and doc_id is not null").select("doc_id"))
-
+    """Toxicity (3): documents that the model rejects go.
 
-def _linked(spark: SparkSession, found: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``found`` (doc_id, component_id) with the components that ``pairs`` of documents connect made one."""
-    found, pairs = stored(spark, found.select("doc_id", "component_id"), "found"), stored(spark, pairs, "pairs")
-    ends = stored(spark, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ends")
-    # An id with several texts has several components, which all take part.
-    parts = stored(spark, found.join(ends, "doc_id").distinct(), "parts")
-    for end in ("a", "b"):
-        pairs = pairs.join(parts.select(F.col("doc_id").alias(end), F.col("component_id").alias(f"c_{end}")), end)
-    roots = simhash.components(pairs.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")))
-    joined = found.join(roots.withColumnRenamed("node", "component_id"), "component_id", "left")
-    return joined.select("doc_id", F.coalesce("root", "component_id").alias("component_id"))
+    It learns from the labels of the stage's own documents.  Rows are judged by their
+    text, so null, empty and repeated rows, and null ids, are treated like any other.
+    """
+    return toxicity.keep_clean(docs, toxicity.train(docs, load(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash (5), and five-word shingles for copies with more edits: of each component the document with the smallest id stays; of repeated rows of it, one."""
-    found = _linked(spark, simhash.near_duplicates(docs), shingles.similar_pairs(docs))
-    drop = found.filter("doc_id <> component_id").select("doc_id")
-    left = _kept(docs, drop)
-    repeated = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(repeated, "doc_id", "left_anti").unionByName(once.select(left.columns))
+    """SimHash (5), and five-word shingles for copies with more edits: one document of each group stays.
+
+    That is the one with the smallest id, an id that is null after all others; the row's
+    place decides among equal ids.  Texts without words are alike and make one group.
+    """
+    rows = positioned(docs)
+    # Order of a group's rows: known ids first, by id, then by place.
+    place = F.struct(F.col("row.doc_id").isNull().alias("unnamed"), F.col("row.doc_id").alias("id"), "key")
+    texts = rows.select(place.alias("doc_id"), F.col("row.text").alias("text"))
+    prints = stored(spark, simhash.fingerprints(texts), "prints")
+    sketched = stored(spark, shingles.sketches(texts), "sketches")
+    node = lambda kind, value: F.xxhash64(F.lit(kind), value)
+    fps = stored(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
+    edges = simhash.links(fps).select(node("fp", F.col("a")).alias("a"), node("fp", F.col("b")).alias("b"))
+    similar = shingles.similar_pairs(texts, sketched).select(node("set", F.col("a")).alias("a"), node("set", F.col("b")).alias("b"))
+    # A fingerprint and a set of shingles are of one group where a text has both.
+    both = prints.join(sketched.filter("name is not null").select("doc_id", "name"), "doc_id")
+    both = both.select(node("fp", F.col("fp")).alias("a"), node("set", F.col("name")).alias("b")).distinct()
+    roots = simhash.components(edges.unionByName(similar).unionByName(both))
+    known = fps.withColumn("node", node("fp", F.col("fp"))).join(roots, "node", "left")
+    keepers = known.groupBy(F.coalesce("root", "node").alias("group")).agg(F.min("least").alias("doc_id"))
+    drop = prints.select("doc_id").join(stored(spark, keepers.select("doc_id"), "keepers"), "doc_id", "left_anti")
+    drop = stored(spark, drop.select("doc_id.key"), "drop")  # its size is known when the join is planned
+    return rows.join(drop, "key", "left_anti").select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark decontamination (4): contaminated documents go."""
-    found = decontam.decontaminate(docs, load(spark, sf_dir, "benchmark"))
-    return _kept(docs, found.filter("contaminated and doc_id is not null").select("doc_id"))
+    """Benchmark decontamination (4): documents with any 13-word window of an item go, and those that shorter items cover to a twentieth.
+
+    Rows are judged by their text, so null, empty and repeated rows, and null ids, are treated like any other.
+    """
+    return decontam.clean(docs, load(spark, sf_dir, "benchmark"))
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing (8): each document as often as the mix takes it, so rows of heavy sources repeat and others go."""
-    mixed = mixing.mix_sources(docs).filter("taken > 0")
-    times = mixed.groupBy("id").agg(F.max(F.expr("cast(taken div size as int)")).alias("times"))
-    rows = docs.join(times, docs["doc_id"].eqNullSafe(times["id"])).drop("id")
-    words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
-    return rows.filter(words > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).drop("copy", "times")
+    """Mixing (8): each document as often as the mix takes it, so rows of heavy sources repeat and others go.
+
+    Documents without words are never taken; every row is decided by itself, with or without an id of its own.
+    """
+    return mixing.repeat_rows(docs)
 
 
 def to_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token-ID output (10): the ids of all documents in compressed shards, read back."""
+    """Token-ID output (10): the ids of all documents in compressed shards, read back; null and empty texts have the end id alone."""
     return tokens.read_documents(tokens.write_shards(docs, vocabulary_path()))
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are processed in blocks of about so many bytes (a longer text is a block of its own).
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 #: Letters hashed at once.
 STRIDE = 1 << 14
 
@@ -161,7 +161,7 @@ class Roller:
     def __init__(self, seed: int = 42, fold: np.ndarray | None = None):
         tables = np.random.default_rng(seed).integers(1, int(self.PRIME), (2, 256), dtype=np.uint64)
         self.tables = tables if fold is None else tables[:, fold]
-        self.up = self.down = np.ones((2, 1), np.uint64)
+        self.up = self.down = np.ones((2, 1), np.uint32)
 
     @classmethod
     def _fold(cls, x: np.ndarray) -> np.ndarray:
@@ -183,7 +183,7 @@ class Roller:
                     step, powers = pow(base, sign, int(self.PRIME)), np.ones(1, np.uint64)
                     while len(powers) < size:  # by doubling
                         powers = np.concatenate([powers, self._reduce(powers * np.uint64(pow(step, len(powers), int(self.PRIME))))])
-                    rows.append(powers[:size])
+                    rows.append(powers[:size].astype(np.uint32))
                 setattr(self, name, np.stack(rows))
 
     def prefix(self, data: np.ndarray) -> np.ndarray:

@@ -13,8 +13,8 @@ comments, by element, class, id or role, go.  So differencing has no say in the
 text of a page with either element; its lines only tell its neighbours' menus.
 Without either element the text is what is left of the body after both.
 
-Scale: what is shuffled for the pairing is a 64-bit hash for each line outside
-articles.  Neighbours are found by numbering the range-sorted pages and joining the
+Scale: each page is parsed once, into a table of its lines.  What is shuffled for the
+pairing is a 64-bit hash for each line outside articles.  Neighbours are found by numbering the range-sorted pages and joining the
 numbers at the ends of each run of like pages, so a host with a third of all pages
 is spread over all tasks.  Only a row for each range partition reaches the driver.
 
@@ -29,6 +29,7 @@ from __future__ import annotations
 import html as entities
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -39,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import positioned, stored
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"<]*\"|'[^'<]*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S
@@ -62,8 +63,9 @@ OUTSIDE = frozenset("header footer".split())  # these words, and <header>, only
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 WORDS = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 BODY, MAIN, ARTICLE, GONE = 0, 1, 2, 3
-#: Lines that repeat more often in a page are aligned occurrence by occurrence.
-REPEATS = 64
+KEY = "struct<file:long,at:long>"
+#: Larger alignments by rows are halved first, so that a table takes no more than 16 MB.
+TABLE_BITS = 1 << 27
 
 
 def _unwanted(name: str, attributes: str, in_article: bool) -> bool:
@@ -150,21 +152,33 @@ def lines_of(page: str) -> list[tuple[str, int]]:
 
 
 def shared(a: list[int], b: list[int]) -> list[int]:
-    """Positions in ``a`` of a longest common subsequence with ``b`` (Hunt and Szymanski)."""
+    """Positions in ``a`` of a longest common subsequence with ``b``.
+
+    Equal ends are matched first.  Between them, where lines mostly occur once, it is
+    found from the matching places (Hunt and Szymanski); where lines repeat so often that
+    there are many more matches than lines, row by row with a bit for each line of ``b``.
+    """
+    lo, end = 0, min(len(a), len(b))
+    while lo < end and a[lo] == b[lo]:
+        lo += 1
+    hi = 0
+    while hi < end - lo and a[-1 - hi] == b[-1 - hi]:
+        hi += 1
+    x, y = a[lo : len(a) - hi], b[lo : len(b) - hi]
+    count = Counter(y)
+    few = sum(count[v] for v in x) <= 16 * (len(x) + len(y))
+    middle = _by_places(x, y) if few else _by_rows(x, y)
+    return [*range(lo), *(lo + k for k in middle), *range(len(a) - hi, len(a))]
+
+
+def _by_places(a: list[int], b: list[int]) -> list[int]:
     where: dict[int, list[int]] = {}
     for j, x in enumerate(b):
         where.setdefault(x, []).append(j)
-    seen: dict[int, int] = {}
     tails: list[int] = []
     links: list[tuple] = []
     for i, x in enumerate(a):
-        places = where.get(x)
-        if not places:
-            continue
-        if len(places) > REPEATS:
-            k = seen[x] = seen.get(x, -1) + 1
-            places = places[k : k + 1]
-        for j in reversed(places):
+        for j in reversed(where.get(x, ())):
             k = bisect_left(tails, j)
             link = (i, links[k - 1] if k else None)
             if k == len(tails):
@@ -179,6 +193,47 @@ def shared(a: list[int], b: list[int]) -> list[int]:
     return out[::-1]
 
 
+def _rows(a: list[int], b: list[int], keep: bool) -> list[int]:
+    """Bit vectors of the table of lengths, a row for each line of ``a`` (the last alone unless ``keep``): bit j is 0 where the length grows at b[j]."""
+    masks: dict[int, int] = {}
+    for j, x in enumerate(b):
+        masks[x] = masks.get(x, 0) | 1 << j
+    row = full = (1 << len(b)) - 1
+    out = [row]
+    for x in a:
+        u = row & masks.get(x, 0)
+        row = ((row + u) | (row - u)) & full
+        if keep:
+            out.append(row)
+        else:
+            out[0] = row
+    return out
+
+
+def _by_rows(a: list[int], b: list[int]) -> list[int]:
+    if not a or not b:
+        return []
+    if len(a) * len(b) > TABLE_BITS and len(a) > 1:  # halve ``a`` where the halves' lengths add up to most
+        half = len(a) // 2
+        lengths = []
+        for part, line in ((a[:half], b), (a[half:][::-1], b[::-1])):
+            bits = np.frombuffer(_rows(part, line, False)[0].to_bytes(-(-len(b) // 8), "little"), np.uint8)
+            lengths.append(np.concatenate([[0], np.cumsum(1 - np.unpackbits(bits, bitorder="little")[: len(b)].astype(np.int64))]))
+        cut = int(np.argmax(lengths[0] + lengths[1][::-1]))
+        return _by_rows(a[:half], b[:cut]) + [half + k for k in _by_rows(a[half:], b[cut:])]
+    rows = _rows(a, b, True)
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+            out.append(i)
+        elif rows[i] >> (j - 1) & 1:
+            j -= 1
+        else:
+            i -= 1
+    return out[::-1]
+
+
 def place_of(url: str | None) -> tuple[str, str]:
     """(host, path) of a URL, as far as it is one."""
     if not url:
@@ -190,17 +245,26 @@ def place_of(url: str | None) -> tuple[str, str]:
     return parts.netloc.lower(), parts.path
 
 
-def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, url, html) to (key, host, path, line hashes, which of them differencing may decide)."""
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, page_id, url, html) to (key, page_id, url, host, path, text, lines, hashes, places).
+
+    ``text`` is the result where the page has an article, else null; ``hashes`` and
+    ``places`` are those of the lines outside articles, and ``lines`` their texts where
+    differencing decides the page.
+    """
     for batch in batches:
         rows = []
-        for key, url, page in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            lines = [(t, p) for t, p in lines_of(page or "") if p != ARTICLE]
-            hashes = np.array([xxhash.xxh64_intdigest(t) for t, _ in lines], "<u8").tobytes()
-            rows.append((key, *place_of(url), hashes, np.array([p for _, p in lines], "u1").tobytes()))
+        for url, page in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            lines = lines_of(page or "")
+            article = [t for t, p in lines if p == ARTICLE]
+            rest = [(t, p) for t, p in lines if p != ARTICLE]
+            hashes = np.array([xxhash.xxh64_intdigest(t) for t, _ in rest], "<u8").tobytes()
+            places = np.array([p for _, p in rest], "u1").tobytes()
+            rows.append((*place_of(url), " ".join(article) if article else None, None if article else [t for t, _ in rest], hashes, places))
         if rows:
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["key", "host", "path", "hashes", "places"])
+            kinds = [pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.binary(), pa.binary()]
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], ["key", "page_id", "url", "host", "path", "text", "lines", "hashes", "places"])
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +294,7 @@ def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pages with the nearest pages unlike them, to the numbers of lines (outside articles) to delete."""
     for batch in batches:
         keys, out = [], []
-        for r in batch.to_pylist():
+        for k, r in enumerate(batch.to_pylist()):
             before = r["path_before"] if r["host_before"] == r["host"] else None
             after = r["path_after"] if r["host_after"] == r["host"] else None
             if before is None and after is None:
@@ -242,17 +306,17 @@ def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             places = np.frombuffer(r["places"], "u1")
             gone = [i for i in shared(mine, np.frombuffer(near, "<u8").tolist()) if places[i] == BODY]
             if gone:
-                keys.append(r["key"])
+                keys.append(k)
                 out.append(gone)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.list_(pa.int32()))], ["key", "gone"])
+        yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(keys, pa.int64())), pa.array(out, pa.list_(pa.int32()))], ["key", "gone"])
 
 
-def shared_lines(keyed: DataFrame) -> DataFrame:
+def shared_lines(parsed: DataFrame) -> DataFrame:
     """(key, gone): for pages that share undecided lines with the page of the nearest URL, the numbers of these lines."""
-    spark = keyed.sparkSession
-    outline = keyed.select("key", "url", "html").mapInArrow(_outline, "key long, host string, path string, hashes binary, places binary")
+    spark = parsed.sparkSession
+    outline = parsed.select("key", "host", "path", "hashes", "places")
     ordered = outline.repartitionByRange("host", "path", "key").sortWithinPartitions("host", "path", "key")
-    kind = "key long, host string, path string, hashes binary, places binary, part int, pos long, run long"
+    kind = f"key {KEY}, host string, path string, hashes binary, places binary, part int, pos long, run long"
     ordered = stored(spark, ordered.mapInArrow(_numbered, kind), "ordered")
     like = F.xxhash64("host", "hashes")
     parts = ordered.groupBy("part").agg(F.count("*").alias("n"), F.min_by(like, "pos").alias("first"), F.max_by(like, "pos").alias("last"), F.max("run").alias("run"))
@@ -272,32 +336,28 @@ def shared_lines(keyed: DataFrame) -> DataFrame:
     side = lambda name: numbered.select(F.col("n").alias(f"n_{name}"), *(F.col(c).alias(f"{c}_{name}") for c in ("host", "path", "hashes")))
     ends = runs.select("run", (F.col("run") - 1).alias("n_before"), (F.col("run") + F.col("size")).alias("n_after"))
     ends = ends.join(side("before"), "n_before", "left").join(side("after"), "n_after", "left")
-    both = numbered.join(ends, "run")
-    gone = both.mapInArrow(_differences, "key long, gone array<int>")
-    return gone.groupBy("key").agg(F.max("gone").alias("gone"))
+    return numbered.join(ends, "run").mapInArrow(_differences, f"key {KEY}, gone array<int>")
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages that differencing decides: what is left of their lines, of <main> if any is, else of the body."""
     for batch in batches:
         texts = []
-        for page, gone in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            lines, drop, k = lines_of(page or ""), set(gone or ()), -1
-            kept = []
-            for t, p in lines:
-                if p != ARTICLE:
-                    k += 1
-                if p != GONE and (p == ARTICLE or k not in drop):
-                    kept.append((t, p))
-            best = max((p for t, p in kept), default=BODY)
+        for lines, places, gone in zip(*(batch.column(k).to_pylist() for k in range(2, 5))):
+            drop = set(gone or ())
+            kept = [(t, p) for k, (t, p) in enumerate(zip(lines, places)) if p != GONE and k not in drop]
+            best = max((p for _, p in kept), default=BODY)
             texts.append(" ".join(t for t, p in kept if p == best))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) of every page."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("url"), F.col("html").alias("html"))
-    keyed = rows.withColumn("key", F.xxhash64("page_id", "url", "html"))
-    # Written first, so that its size is known when the join is planned: pages are only moved if it is large.
-    gone = stored(pages.sparkSession, shared_lines(keyed), "gone")
-    joined = keyed.join(gone, "key", "left").select("page_id", "url", "html", "gone")
-    return joined.mapInArrow(_texts, "page_id long, url string, text string")
+    spark = pages.sparkSession
+    row = F.col("row.page_id").cast("long").alias("page_id"), F.col("row.url").cast("string").alias("url"), F.col("row.html").alias("html")
+    kind = f"key {KEY}, page_id long, url string, host string, path string, text string, lines array<string>, hashes binary, places binary"
+    parsed = stored(spark, positioned(pages).select("key", *row).mapInArrow(_parsed, kind), "parsed")  # each page is parsed once
+    sure = parsed.filter("text is not null").select("page_id", "url", "text")
+    gone = stored(spark, shared_lines(parsed), "gone")
+    open_pages = parsed.filter("text is null").join(gone, "key", "left").select("page_id", "url", "lines", "places", "gone")
+    return sure.unionByName(open_pages.mapInArrow(_texts, "page_id long, url string, text string"))

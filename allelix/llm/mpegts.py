@@ -10,11 +10,18 @@ Reading back parses both tables (with their CRC-32), follows the program's PID,
 checks continuity counters, reassembles the PES packets, and returns payload,
 timestamps and the positions of random-access points.
 
-A stream depends on the text alone, so equal texts have equal streams.  Everything
-happens in one pass over the rows, a text at a time; nothing is shuffled.
-
-Defined results: a null or empty text is one unit of padding; a damaged stream
-raises ``StreamError`` when read; other columns are ignored.
+``to_media`` gives a table of streams with two columns beside them, the presentation
+timestamps and the packets at which decoding may start, so that a reader can seek
+without parsing.  ``describe`` reads such a table back: it parses the stored bytes,
+compares both columns with what the stream says, and computes features.
+
+A stream depends on the text alone, so equal texts have equal streams.  Each step is
+one pass over the rows, a text at a time; nothing is shuffled.
+
+Defined results: a null or empty text is one unit of padding; ids may be null or
+repeat, each row gives a row; an empty table gives none; a damaged stream, or one
+that is not what its columns say, raises ``StreamError`` when read; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -41,6 +48,9 @@ FIELD = 8  # adaptation field with a clock reference: length, flags, 6 bytes
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
+MEDIA = "doc_id long, n_bytes long, media binary, timestamps array<long>, access_points array<long>"
+
+
 class StreamError(ValueError):
     """A transport stream that cannot be read."""
 
@@ -199,29 +209,49 @@ def feature(stream: Stream) -> str:
     return f"{stream.packets}:{len(stream.timestamps)}:{stream.timestamps[-1]}:{len(stream.random_access)}:{int(x.sum(dtype=np.int64)) // len(x)}:{int(x.max())}"
 
 
-def _media(with_blob: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, offsets in text_blocks(batch.column(1)):
-                body, rows, blobs = data.tobytes(), [], []
-                for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-                    media = mux(padded(body[a:b]))
-                    stream = Stream(media)
-                    back = stream.payload
-                    rows.append((b - a, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(stream)))
-                    if with_blob:
-                        blobs.append(media)
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
-                names = [p.split()[0] for p in SCHEMA.split(", ")]
-                if with_blob:
-                    columns, names = [*columns, pa.array(blobs, pa.binary())], [*names, "media"]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *columns], names)
-
-    return run
-
-
-def to_media(docs: DataFrame, with_media: bool = True) -> DataFrame:
-    """Store each text as a stream, read it back, and describe it; ``media`` holds the stream itself."""
+def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo, hi, data, offsets in text_blocks(batch.column(1)):
+            body, rows = data.tobytes(), []
+            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+                media = mux(padded(body[a:b]))
+                rows.append((b - a, media, *index_of(media)))
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *columns], [p.split()[0] for p in MEDIA.split(", ")])
+
+
+def index_of(media: bytes) -> tuple[list[int], list[int]]:
+    """(presentation timestamps, packets with the random-access flag) from the headers of a stream that ``mux`` made."""
+    grid = np.frombuffer(media, np.uint8).reshape(-1, PACKET)
+    heads = np.flatnonzero((grid[:, 1] & 0x40 != 0) & (grid[:, 2] == DATA_PID & 0xFF) & (grid[:, 1] & 0x1F == DATA_PID >> 8))
+    times = []
+    for k in heads.tolist():
+        t = media[k * PACKET + 4 + int(grid[k, 4]) + 1 + 9 :][:5]
+        times.append((t[0] >> 1 & 7) << 30 | t[1] << 22 | (t[2] >> 1) << 15 | t[3] << 7 | t[4] >> 1)
+    return times, heads[grid[heads, 5] & 0x40 != 0].tolist()
+
+
+def to_media(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, media, timestamps, access_points) of each text; write it to store the streams."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    return source.mapInArrow(_media(with_media), SCHEMA + (", media binary" if with_media else ""))
+    return source.mapInArrow(_streams, MEDIA)
+
+
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for n, media, times, points in zip(*(batch.column(k) for k in range(1, 5))):
+            media = media.as_py()
+            stream = Stream(media)
+            if stream.timestamps != times.as_py() or stream.random_access.tolist() != points.as_py():
+                raise StreamError("the stream is not what its columns say")
+            back = stream.payload
+            rows.append((n.as_py(), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(stream)))
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        columns = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 7, kinds)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [p.split()[0] for p in SCHEMA.split(", ")])
+
+
+def describe(media: DataFrame) -> DataFrame:
+    """What the stored streams of ``to_media``'s table hold, read back from their bytes."""
+    return media.select("doc_id", "n_bytes", "media", "timestamps", "access_points").mapInArrow(_described, SCHEMA)

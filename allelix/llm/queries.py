@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, htmltext, langid, mixing, mpegts, secrets, simhash, suffixes, tokens, toxicity
-from .common import load
+from .common import load, stored, table_path
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +20,9 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = secrets.scan(load(spark, sf_dir, "documents"))
+    # A ledger of its own for each run, unless the session names one that runs share: a query's result and cost then depend on its input alone.
+    path = spark.conf.get("spark.allelix.ledger", None) or table_path(spark, "ledger")
+    found = secrets.scan(load(spark, sf_dir, "documents"), path)
     base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE))
     return found.select(
         "doc_id",
@@ -59,7 +61,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mpegts.to_media(load(spark, sf_dir, "documents"), with_media=False)
+    return mpegts.describe(stored(spark, mpegts.to_media(load(spark, sf_dir, "documents")), "media"))
 
 
 def vocabulary_path() -> str:

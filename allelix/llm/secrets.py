@@ -9,9 +9,10 @@ Positions come from two native functions that see the same matches, leftmost and
 not overlapping: ``split`` gives the texts between them and ``regexp_extract_all``
 the matches, so running lengths are the offsets, in code points.
 
-Scale: ids and digests are shuffled to find one representative path of each new
-blob; only representatives' texts are scanned, where they are read (one hash join
-against the set of representative ids, no sort of texts).
+Scale: digests are shuffled to find one representative path of each new blob; one
+hash join on the rows' own keys, which no two rows share, brings its text, and only
+that is scanned.  The ledger is a table that runs append to; what a lost run had
+appended twice counts once.
 
 Defined results: a null text is the empty blob; repeated rows and equal texts share
 a blob and get the same findings; rows without an id are paths like others; an
@@ -22,9 +23,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import positioned, stored
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -78,46 +81,57 @@ def spans_of(text: Column, rule: Rule, rank: int) -> Column:
     return F.when(text.rlike(rule.hint) & text.rlike(rule.pattern), found).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
-    """(findings, news): findings have (doc_id, blob, spans) for every path, news are the ledger's new rows.
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger's rows; none where nothing was written yet."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
+        return spark.createDataFrame([], LEDGER)
+    return spark.read.schema(LEDGER).parquet(path)
+
+
+def _current(rules: tuple[Rule, ...]) -> Column:
+    """The ledger's row is of a rule version in use."""
+    return F.concat_ws(":", "rule", F.col("version").cast("string")).isin([f"{r.kind}:{r.version}" for r in rules])
+
+
+def unseen(rows: DataFrame, paths: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The ledger's new rows: a row for each blob of ``paths`` (key, blob) and rule version that it lacks.
 
-    ``spans`` are those of all rules, by start and then by the order of the rules.
-    Append ``news`` to the ledger's table; a later run then scans what is new only.
+    ``rows`` (row, key) hold the texts.  Of each blob one path, that with the smallest key,
+    is scanned: keys are the rows' own, so however many copies there are, and whatever
+    their ids, a blob is scanned once.
     """
-    paths = docs.select(F.col("doc_id").alias("doc_id"), blob_of(F.col("text")).alias("blob"))
-    wanted = {(r.kind, r.version) for r in rules}
-    blobs = paths.groupBy("blob").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id")).alias("path"))
-    if ledger is None:
-        todo = blobs.withColumn("have", F.array().cast("array<string>"))
-        old = None
-    else:
-        current = F.concat_ws(":", "rule", F.col("version").cast("string"))
-        kept = ledger.filter(current.isin([f"{k}:{v}" for k, v in sorted(wanted)]))
-        old = kept.select("blob", "rule", "version", "spans")
-        have = kept.groupBy("blob").agg(F.collect_set(current).alias("have"))
-        todo = blobs.join(have, "blob", "left").withColumn("have", F.coalesce("have", F.array().cast("array<string>")))
-        todo = todo.filter(F.size("have") < len(wanted))
-    chosen = todo.select(F.col("path.doc_id").alias("pid"), F.col("blob").alias("todo_blob"), "have")
-    texts = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    same = texts["doc_id"].eqNullSafe(chosen["pid"])
-    found = texts.join(chosen.hint("shuffle_hash"), same).filter(blob_of(F.col("text")) == F.col("todo_blob"))
-    # Repeated rows of a representative are the same blob; one scan's result is kept below.
+    have = ledger.filter(_current(rules)).groupBy("blob").agg(F.collect_set(F.concat_ws(":", "rule", F.col("version").cast("string"))).alias("have"))
+    todo = paths.groupBy("blob").agg(F.min("key").alias("key")).join(have, "blob", "left")
+    todo = todo.filter(F.coalesce(F.size("have"), F.lit(0)) < len(rules)).withColumn("have", F.coalesce("have", F.array().cast("array<string>")))
+    texts = rows.select("key", F.coalesce(F.col("row.text"), F.lit("")).alias("text"))
+    found = texts.join(todo.hint("shuffle_hash"), "key")
     scanned = []
     for rank, rule in enumerate(rules):
         fresh = ~F.array_contains("have", f"{rule.kind}:{rule.version}")
-        scanned.append(F.when(fresh, spans_of(F.col("text"), rule, rank)).alias(f"spans_{rank}"))
-    raw = found.select(F.col("todo_blob").alias("blob"), *scanned)
-    rows = F.array(*(F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version"), F.col(f"spans_{k}").alias("spans")) for k, r in enumerate(rules)))
-    news = raw.select("blob", F.explode(F.filter(rows, lambda x: x["spans"].isNotNull())).alias("x")).select("blob", "x.rule", "x.version", "x.spans")
-    if old is None:
-        every = F.flatten(F.array(*(F.coalesce(f"spans_{k}", F.array().cast(f"array<{SPAN}>")) for k in range(len(rules)))))
-        by_blob = raw.select("blob", F.array_sort(every).alias("spans")).filter(F.size("spans") > 0)
-        by_blob = by_blob.groupBy("blob").agg(F.max("spans").alias("spans"))
-    else:
-        both = old.unionByName(news).filter(F.size("spans") > 0).dropDuplicates(["blob", "rule", "version"])
-        by_blob = both.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    out = paths.join(by_blob, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans"))
-    return out, news
+        spans = F.when(fresh, spans_of(F.col("text"), rule, rank))
+        scanned.append(F.struct(F.lit(rule.kind).alias("rule"), F.lit(rule.version).alias("version"), spans.alias("spans")))
+    # Nothing above the join filters on what was found, so the optimizer has no test to evaluate on all paths below it.
+    news = found.select("blob", F.explode(F.array(*scanned)).alias("x")).filter("x.spans is not null")
+    return news.select("blob", "x.rule", "x.version", "x.spans")
+
+
+def scan(docs: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(doc_id, blob, spans) for every path; ``spans`` are those of all rules, by start and then by the order of the rules.
+
+    Reads the ledger's table, scans the pairs that it lacks, appends them, and joins what
+    the ledger then holds back to the paths.  A run over blobs that it has scans no text.
+    """
+    spark = docs.sparkSession
+    rows = positioned(docs)
+    paths = stored(spark, rows.select("key", F.col("row.doc_id").alias("doc_id"), blob_of(F.col("row.text")).alias("blob")), "paths")
+    unseen(rows, paths, read_ledger(spark, ledger_path), rules).write.mode("append").parquet(ledger_path)
+    known = read_ledger(spark, ledger_path).filter(_current(rules) & (F.size("spans") > 0)).dropDuplicates(["blob", "rule", "version"])
+    # The order of the rules is that of this run, whatever it was when the ledger's row was written.
+    rank = F.create_map(*(F.lit(x) for k, r in enumerate(rules) for x in (r.kind, k)))
+    ranked = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), rank[s["kind"]].alias("rank"), s["kind"].alias("kind"), s["stop"].alias("stop")))
+    by_blob = known.withColumn("spans", ranked).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    return paths.join(by_blob, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans"))
 
 
 def joined(spans: Column) -> Column:

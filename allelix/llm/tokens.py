@@ -2,10 +2,11 @@
 
 Texts are encoded in ascending order of their ids; id 2 ends each document.  A
 shard holds whole documents.  Its ids are compressed by Re-Pair: in every round
-frequent pairs of neighbouring symbols are replaced by new nonterminals.  Pairs
+frequent pairs of neighbouring symbols are replaced by new nonterminals, until no
+pair occurs ``MIN_COUNT`` times (where a rule takes as much room as it saves).  Pairs
 replaced in one round do not overlap (no symbol is the right of one and the left
-of another), so a round is a handful of array operations.  Pairs never span the
-end of a document; rules and expansion lengths are stored, and any document, or
+of another; of a run of one symbol every second place is taken), so a round is a
+handful of array operations.  Pairs never span the end of a document; rules and expansion lengths are stored, and any document, or
 any range of its ids, is decoded without the others.
 
 Shard layout (little endian): magic ``RPG1``; u32 documents, rules, symbols,
@@ -13,22 +14,26 @@ terminals (the last is the end of a document); then i64 ids, u8 null flags of th
 document, u32 first symbol of each document and the end; u32 pairs of the rules;
 u32 expansion lengths of the rules; u16 symbols, or u32 where any is above 65535.
 
-Encoding by words is exact for tokenizers whose pre-tokenizer parts at white space
-and drops it: each distinct word between ASCII white space, and each distinct
+Encoding by words is exact for tokenizers that normalise and part texts as ``WORDWISE``
+says, which is looked up in the tokenizer's file; any other tokenizer encodes whole
+texts.  By words, each distinct word between ASCII white space, and each distinct
 piece of words, is encoded once while a worker keeps it, and texts are put together from ids.
 Pieces of plain words go to the tokenizer's model in its byte letters, other words
 through the whole tokenizer.
 
-Scale: one range shuffle puts texts in order; a task keeps one shard in memory.
-Only one row for each partition, its number of ids, reaches the driver.
+Scale: one range shuffle puts texts in order, in tasks of about ``TASK_BYTES`` of
+input; ids that repeat, or are null, are dealt on by a hash of the text and by the
+row's place, so that they fill as many tasks as they need.  A task keeps one shard in
+memory.  Only one row for each partition, its number of ids, reaches the driver.
 
 Defined results: a null or empty text has the end id alone; ids that are null come
-first; repeated rows are documents of their own, in the order of their texts; an
-empty table writes no shard.  Other columns are ignored.
+first; repeated rows are documents of their own, in the order of a hash of their
+texts; an empty table writes no shard.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -47,11 +52,26 @@ from .common import give_back, ranges, stored, text_blocks
 END = 2
 SHARD_IDS = 1 << 20
 SLOT_BITS = 18
-ROUNDS, PAIRS_A_ROUND, MIN_COUNT = 3, 512, 16
-CACHE_WORDS, REST_WORDS = 400_000, 60_000
-#: How the tokenizer parts words, as its file states; and the ends of words.
-PIECES = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-JOINED = 500
+PAIRS_A_ROUND, MIN_COUNT = 4096, 16
+CACHE_WORDS, REST_WORDS = 250_000, 40_000
+TASK_BYTES = 48 << 20
+#: How a tokenizer's file says that texts are normalised and parted, where encoding by words is exact.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORDWISE = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+#: The tokenizer's own pieces, and the ends of words.
+PIECES = regex.compile(r"\n|" + SPLIT)
 MAGIC = b"RPG1"
 SHARDS = "part int, seq int, first long, start long, n_ids long, n_docs int, shard binary"
 
@@ -100,6 +120,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        spec = json.loads(self.tokenizer.to_str())
+        marks = all(t["content"].startswith("<|") and " " not in t["content"] for t in spec["added_tokens"])
+        self.wordwise = marks and spec["model"]["type"] == "BPE" and all(spec[k] == v for k, v in WORDWISE.items())
         self._clear()
         self._clear_pieces()
 
@@ -187,6 +210,8 @@ class WordEncoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts with an end id after each, number of ids of each text)."""
+        if not self.wordwise:
+            return self._encode_whole(data.tobytes(), offsets)
         if len(self.numbers) > CACHE_WORDS:
             self._evict(CACHE_WORDS // 2)
         if len(self.pieces) > CACHE_WORDS:
@@ -215,37 +240,53 @@ class WordEncoder:
         return out, per_text
 
 
-def repair(ids: np.ndarray, terminals: int, end: int, rounds: int = ROUNDS, pairs: int = PAIRS_A_ROUND, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, rules): rule r stands for its pair and has symbol terminals + r; the symbol ``end`` is in no pair."""
-    # A pair is one 32-bit code where all symbols fit 16 bits, else one 64-bit code.
-    narrow = terminals + rounds * pairs <= 1 << 16
-    kind, half, factor, shift = (np.uint32, 16, 0x9E3779B1, 32 - SLOT_BITS) if narrow else (np.uint64, 32, 0x9E3779B97F4A7C15, 64 - SLOT_BITS)
-    seq, rules, low, void = ids.astype(kind), [], (1 << half) - 1, 1 << SLOT_BITS
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        a, b = seq[:-1], seq[1:]
+    def _encode_whole(self, body: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        texts = [body[a:b].decode("utf-8") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        got = [[*x.ids, END] for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        count = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter(chain.from_iterable(got), np.uint32, int(count.sum())), count
+
+
+def repair(
+    ids: np.ndarray, terminals: int, end: int, rounds: int | None = None, pairs: int = PAIRS_A_ROUND, min_count: int = MIN_COUNT
+) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, rules): rule r stands for its pair and has symbol terminals + r; the symbol ``end`` is in no pair.
+
+    Rounds go on until no pair occurs ``min_count`` times (2 at least), or for ``rounds`` of them.
+    """
+    seq, rules, void, min_count = ids.astype(np.uint32), [], 1 << SLOT_BITS, max(2, min_count)
+    while len(seq) > 1 and (rounds is None or rounds > 0):
+        rounds = None if rounds is None else rounds - 1
+        # A pair is one 32-bit code where all symbols fit 16 bits, else one 64-bit code.
+        narrow = terminals + len(rules) <= 1 << 16
+        kind, half, factor, shift = (np.uint32, 16, 0x9E3779B1, 32 - SLOT_BITS) if narrow else (np.uint64, 32, 0x9E3779B97F4A7C15, 64 - SLOT_BITS)
+        a, b = seq[:-1].astype(kind), seq[1:].astype(kind)
         code = a << kind(half) | b
         slot = ((code * kind(factor)) >> kind(shift)).view(np.int32 if narrow else np.int64)
         ends = np.flatnonzero(seq == end)
         slot[ends[ends < len(slot)]] = void
         slot[ends[ends > 0] - 1] = void
-        slot[a == b] = void
+        twins = np.flatnonzero(a == b)
+        if len(twins):  # of a run of one symbol, every second place
+            first = np.concatenate([[True], np.diff(twins) != 1])
+            begin = np.maximum.accumulate(np.where(first, np.arange(len(twins)), 0))
+            slot[twins[(np.arange(len(twins)) - begin) % 2 == 1]] = void
         heat = np.bincount(slot, minlength=void + 1)
         heat[void] = 0
         bar = max(min_count, int(np.partition(heat, -2 * pairs)[-2 * pairs]))
         at = np.flatnonzero((heat >= bar)[slot])
-        if not len(at):
-            break
-        code, slot = code[at], slot[at]
-        found, count = np.unique(code, return_counts=True)
+        found, count = np.unique(code[at], return_counts=True)
+        if bar > min_count and not (count >= min_count).any():  # the hottest slots hold several rare pairs each
+            at = np.flatnonzero((heat >= min_count)[slot])
+            found, count = np.unique(code[at], return_counts=True)
         found, count = found[count >= min_count], count[count >= min_count]
+        code, slot = code[at], slot[at]
         lefts, rights, taken = set(), set(), []
         for k in np.lexsort((found, -count)).tolist():
-            x, y = int(found[k]) >> half, int(found[k]) & low
+            x, y = int(found[k]) >> half, int(found[k]) & ((1 << half) - 1)
             if len(taken) == pairs:
                 break
-            if x not in rights and y not in lefts:
+            if x not in rights and y not in lefts and (x != y or (x not in lefts and y not in rights)):
                 lefts.add(x)
                 rights.add(y)
                 taken.append(found[k])
@@ -257,17 +298,17 @@ def repair(ids: np.ndarray, terminals: int, end: int, rounds: int = ROUNDS, pair
         if not len(taken):
             break
         wanted = np.full(void + 1, np.iinfo(kind).max, kind)
-        symbol = np.zeros(void + 1, kind)
+        symbol = np.zeros(void + 1, np.uint32)
         wanted[where] = taken
-        symbol[where] = (terminals + len(rules) + np.arange(len(taken))).astype(kind)
-        rules += [(int(c) >> half, int(c) & low) for c in taken]
+        symbol[where] = terminals + len(rules) + np.arange(len(taken))
+        rules += [(int(c) >> half, int(c) & ((1 << half) - 1)) for c in taken]
         good = wanted[slot] == code
         at = at[good]
         seq[at] = symbol[slot[good]]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq[keep]
-    return seq.astype(np.uint32), np.array(rules, np.uint32).reshape(-1, 2)
+    return seq, np.array(rules, np.uint32).reshape(-1, 2)
 
 
 def expansions(rules: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray]:
@@ -279,12 +320,15 @@ def expansions(rules: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarra
     return (np.concatenate(out) if out else np.zeros(0, np.uint32)), np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
 
 
-def pack(doc_ids: list[int | None], ids: np.ndarray, per_doc: np.ndarray, vocabulary: int) -> bytes:
-    """One shard.  Inside it, the end of a document is a terminal of its own, as id 2 may also occur in a text."""
+def pack(doc_ids: list[int | None], ids: np.ndarray, per_doc: np.ndarray, vocabulary: int, **grammar) -> bytes:
+    """One shard.  Inside it, the end of a document is a terminal of its own, as id 2 may also occur in a text.
+
+    ``grammar`` are the parameters of ``repair``.
+    """
     terminals = vocabulary + 1
     inner = ids.copy()
     inner[np.cumsum(per_doc) - 1] = vocabulary
-    symbols, rules = repair(inner, terminals, vocabulary)
+    symbols, rules = repair(inner, terminals, vocabulary, **grammar)
     edge = np.concatenate([[0], np.flatnonzero(symbols == vocabulary) + 1])
     _, first = expansions(rules, terminals)
     wide = len(symbols) and int(symbols.max()) > 0xFFFF
@@ -348,7 +392,7 @@ class Shard:
         return self._expand(self.symbols)
 
 
-def _encode(path: str, shard_ids: int):
+def _encode(path: str, shard_ids: int, grammar: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path)
         vocabulary = encoder.tokenizer.get_vocab_size()
@@ -360,13 +404,13 @@ def _encode(path: str, shard_ids: int):
 
         def shard():
             flat, per_doc = np.concatenate(ids), np.concatenate(sizes)
-            values = [part, seq, doc_ids[0], start, len(flat), len(doc_ids), pack(doc_ids, flat, per_doc, vocabulary)]
+            values = [part, seq, doc_ids[0], start, len(flat), len(doc_ids), pack(doc_ids, flat, per_doc, vocabulary, **grammar)]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
             names = ["part", "seq", "first", "start", "n_ids", "n_docs", "shard"]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names)
 
         for batch in batches:
-            for lo, hi, data, offsets in text_blocks(batch.column(1), 3 << 20):
+            for lo, hi, data, offsets in text_blocks(batch.column(1), 2 << 20):
                 got, per_doc = encoder.encode(data, offsets)
                 doc_ids += batch.column(0).slice(lo, hi - lo).to_pylist()
                 ids.append(got)
@@ -384,16 +428,23 @@ def _encode(path: str, shard_ids: int):
     return run
 
 
-def parts_for(spark: SparkSession) -> int:
-    """A third of the shuffle partitions, as a task that is larger meets its words again; two for each core at least."""
-    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 3)
+def parts_for(docs: DataFrame) -> int:
+    """Tasks of about ``TASK_BYTES`` of input, as Spark knows its size; two for each core at least."""
+    spark = docs.sparkSession
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >> 60:  # not known
+        size = TASK_BYTES * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(2 * spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
 
 
-def write_shards(docs: DataFrame, path: str, shard_ids: int = SHARD_IDS) -> DataFrame:
-    """Encode and write; returns the shard table as read back from its files."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    ordered = source.repartitionByRange(parts_for(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    return stored(docs.sparkSession, ordered.mapInArrow(_encode(path, shard_ids), SHARDS), "shards")
+def write_shards(docs: DataFrame, path: str, shard_ids: int = SHARD_IDS, **grammar) -> DataFrame:
+    """Encode and write; returns the shard table as read back from its files.  ``grammar`` are the parameters of ``repair``."""
+    order = ["doc_id", "hash", "place"]
+    source = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("place")
+    )
+    ordered = source.repartitionByRange(parts_for(docs), *order).sortWithinPartitions(*order).select("doc_id", "text")
+    return stored(docs.sparkSession, ordered.mapInArrow(_encode(path, shard_ids, grammar), SHARDS), "shards")
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

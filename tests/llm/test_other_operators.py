@@ -45,6 +45,20 @@ def test_longest_common_subsequence(a, b):
     assert len(at) == table[-1][-1] and at == sorted(set(at)) and all(x in rest for x in picked)
 
 
+@pytest.mark.parametrize("bits", [1 << 27, 500])
+def test_alignment_of_lines_that_repeat_hundreds_of_times(bits, monkeypatch):
+    monkeypatch.setattr(htmltext, "TABLE_BITS", bits)
+    rng = np.random.default_rng(6)
+    a, b = rng.integers(0, 3, 260).tolist(), rng.integers(0, 3, 240).tolist()
+    table = np.zeros((len(a) + 1, len(b) + 1), int)
+    for i, j in product(range(len(a)), range(len(b))):
+        table[i + 1, j + 1] = table[i, j] + 1 if a[i] == b[j] else max(table[i, j + 1], table[i + 1, j])
+    at = htmltext.shared(a, b)
+    rest = iter(b)
+    assert len(at) == table[-1, -1] and at == sorted(set(at)) and all(a[i] in rest for i in at)
+    assert len(htmltext.shared([1] * 200 + [2], [3] + [1] * 150)) == 150 and htmltext.shared([1] * 200, [1] * 150 + [4]) == list(range(150))
+
+
 def test_shared_lines_go_and_content_stays(spark):
     page = lambda body: f"<body><div>Menu one</div><div>{body}</div><div>All rights</div></body>"
     rows = [(k, f"http://h.example/a/{k}", page(f"story {k}"), "clash") for k in range(30)]
@@ -214,9 +228,31 @@ def test_damage_is_found():
 def test_media_table(docs, corpus, no_docs):
     rows = mpegts.to_media(docs).collect()
     assert Counter((r["doc_id"], mpegts.Stream(bytes(r["media"])).payload) for r in rows) == Counter((i, mpegts.padded((t or "").encode())) for i, t, *_ in corpus)
+    for r in rows:
+        s = mpegts.Stream(bytes(r["media"]))
+        assert s.timestamps == r["timestamps"] and s.random_access.tolist() == r["access_points"]
     assert mpegts.to_media(no_docs).collect() == []
 
 
+def test_streams_are_read_back_from_the_stored_table(spark, docs, corpus, tmp_path):
+    """Digests against a plain computation, and damage in the stored table is found."""
+    import hashlib
+
+    path = str(tmp_path / "media")
+    mpegts.to_media(docs).write.parquet(path)
+    got = mpegts.describe(spark.read.parquet(path)).collect()
+    want = []
+    for i, t, *_ in corpus:
+        body = (t or "").encode()
+        padded = body + b"\xff" * (max(1, -(-len(body) // 576)) * 576 - len(body))
+        want.append((i, len(body), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-32:])))
+    assert Counter(tuple(r)[:5] for r in got) == Counter(want)
+    assert len({(r["media_sha256"], r["feature"]) for r in got}) == len({t or "" for _, t, *_ in corpus})
+    bad = spark.read.parquet(path).withColumn("timestamps", F.transform("timestamps", lambda x: x + 1))
+    with pytest.raises(Exception, match="not what its columns say"):
+        mpegts.describe(bad).collect()
+
+
 @pytest.fixture(scope="module")
 def plain():
     from tokenizers import Tokenizer
@@ -278,6 +314,57 @@ def test_repair_replaces_the_most_frequent_pair_first():
     assert len(seq) == 140
 
 
+def test_grammar_to_the_end_and_runs_of_one_symbol():
+    rng = np.random.default_rng(9)
+    flat = np.concatenate([np.full(1000, 7), rng.integers(0, 4, 3000), np.tile([1, 2, 3, 9], 200)]).astype(np.uint32)
+    for least in (2, 16):
+        seq, rules = tokens.repair(flat, 100, 99, min_count=least)
+        pairs, last = Counter(), None
+        for k, p in enumerate(zip(seq.tolist(), seq[1:].tolist())):  # places of a pair that do not overlap
+            if p != last or p[0] != p[1]:
+                pairs[p] += 1
+                last = p
+            else:
+                last = None
+        assert max(pairs.values()) < least and len(seq) < 1500
+        out = seq.tolist()
+        for r in range(len(rules) - 1, -1, -1):
+            out = [y for x in out for y in (rules[r].tolist() if x == 100 + r else [x])]
+        assert out == flat.tolist()
+
+
+@pytest.mark.parametrize("name", ["cased", "byte_bpe_50k.json"])
+def test_other_tokenizers_encode_whole_texts(spark, tmp_path, name):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    if name == "cased":
+        t = Tokenizer(models.BPE({"A": 0, "a": 1, "b": 2, "B": 3, "ab": 4}, [("a", "b")]))
+        t.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        path = str(tmp_path / "t.json")
+        t.save(path)
+    else:
+        import public_tokenizers
+
+        path = public_tokenizers.path(name)
+        t = Tokenizer.from_file(path)
+    texts = ["AB ab", "ab  ba A", "", None, "aAbB"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in tokens.read_documents(tokens.write_shards(df, path)).collect()}
+    for i, x in enumerate(texts):
+        ids = np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4")
+        assert got[i] == (len(ids), zlib.crc32(ids.tobytes()))
+
+
+def test_repeated_ids_fill_several_tasks(spark):
+    rows = [(None, f"text {k}") for k in range(300)] + [(4, "the same")] * 300 + [(k, "x y") for k in range(5, 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    shards = tokens.write_shards(df, queries.vocabulary_path())
+    assert shards.filter("first is null").select("part").distinct().count() > 1 and shards.filter("first = 4").select("part").distinct().count() > 1
+    got = sorted(tokens.read_documents(shards).collect(), key=lambda r: r["start"])
+    assert [r["start"] for r in got] == np.concatenate([[0], np.cumsum([r["n_tokens"] for r in got])[:-1]]).tolist()
+    assert [r["doc_id"] for r in got] == [None] * 300 + [4] * 300 + list(range(5, 20))
+
+
 @pytest.mark.parametrize("shard_ids", [1 << 20, 500])
 def test_token_files(spark, docs, corpus, no_docs, plain, shard_ids):
     got = tokens.read_documents(tokens.write_shards(docs, queries.vocabulary_path(), shard_ids)).collect()

@@ -303,28 +303,44 @@ SECRETS = [
 ]
 
 
-def test_secrets_match_brute_force(spark, docs, corpus):
-    df = spark.createDataFrame([(i, t, "clash") for i, t in SECRETS], "doc_id long, text string, spans string")
-    found, _ = secrets.scan(df)
-    got = [(r["doc_id"], tuple(tuple(s) for s in r["spans"] if s["kind"] in secrets.BASE)) for r in found.collect()]
+def _ledger(tmp_path, name="ledger"):
+    return f"file://{tmp_path}/{name}"
+
+
+def test_secrets_match_brute_force(spark, docs, corpus, tmp_path):
+    df = spark.createDataFrame([(i, t, "clash", 1) for i, t in SECRETS], "doc_id long, text string, spans string, key int")
+    found = secrets.scan(df, _ledger(tmp_path))
+    got = [(r["doc_id"], tuple((s["start"], s["rank"], s["kind"], s["stop"]) for s in r["spans"] if s["kind"] in secrets.BASE)) for r in found.collect()]
     same(got, [(i, brute_spans(t)) for i, t in SECRETS])
-    assert secrets.scan(df.limit(0))[0].collect() == []
-    found, _ = secrets.scan(docs)
+    assert secrets.scan(df.limit(0), _ledger(tmp_path, "none")).collect() == []
+    found = secrets.scan(docs, _ledger(tmp_path))
     same([(r["doc_id"], tuple(map(tuple, r["spans"]))) for r in found.collect()], [(r[0], ()) for r in corpus])
 
 
-def test_ledger_scans_only_what_is_new(spark):
-    df = spark.createDataFrame(SECRETS[:5], "doc_id long, text string")
-    all_found, news = secrets.scan(df)
-    ledger = spark.createDataFrame(news.collect(), news.schema)
-    assert ledger.count() == len(secrets.RULES) * 4  # null and empty texts are one blob
-    again, more = secrets.scan(df, ledger)
-    assert more.count() == 0
+def test_ledger_scans_only_what_is_new(spark, tmp_path):
+    path = _ledger(tmp_path)
+    count = lambda: secrets.read_ledger(spark, path).count()
+    df = spark.createDataFrame(SECRETS[:5] + SECRETS[:5], "doc_id long, text string")
+    all_found = secrets.scan(df, path)
+    assert count() == len(secrets.RULES) * 4  # copies are scanned once, null and empty texts are one blob
+    again = secrets.scan(df, path)
+    assert count() == len(secrets.RULES) * 4
     same(map(str, again.collect()), map(str, all_found.collect()))
-    grown = df.unionByName(spark.createDataFrame([(77, "secret: 'qwertyuiop'")], df.schema))
-    found, more = secrets.scan(grown, ledger)
-    assert more.select("blob").distinct().count() == 1
+    grown = df.unionByName(spark.createDataFrame([(77, "secret: 'qwertyuiop'"), (None, "secret: 'qwertyuiop'")], df.schema))
+    found = secrets.scan(grown, path)
+    assert count() == len(secrets.RULES) * 5
     assert {r["doc_id"]: len(r["spans"]) for r in found.collect()}[77] == 1
     newer = (secrets.Rule("access", 2, "AKIA[A-Z]+", 0, 16, "AKIA"),)
-    _, more = secrets.scan(df, ledger, newer)
-    assert more.count() == 4 and {r["version"] for r in more.collect()} == {2}
+    secrets.scan(df, path, newer)
+    assert secrets.read_ledger(spark, path).filter("version = 2").count() == 4
+
+
+def test_scan_is_not_moved_below_the_join(spark, tmp_path):
+    """Patterns are evaluated above the join with the blobs to scan, so copies and known blobs are not scanned."""
+    from allelix.llm.common import positioned
+
+    df = spark.createDataFrame(SECRETS, "doc_id long, text string")
+    rows = positioned(df)
+    paths = rows.select("key", secrets.blob_of(F.col("row.text")).alias("blob"))
+    plan = secrets.unseen(rows, paths, secrets.read_ledger(spark, _ledger(tmp_path)))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" in plan.split("Join")[0] and not any("regexp_extract_all" in x or "RLIKE" in x for x in plan.split("Join")[1:])

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Texts are processed in blocks of about so many bytes (a longer text is a block of its own).
 BLOCK_BYTES = 1 << 19
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
 #: Letters hashed at once.
 STRIDE = 1 << 14
 
@@ -42,6 +44,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of fewer rows, unless the session has set its own number: a row is a text, and a batch is held in the JVM and in Python."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def table_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), "allelix", uuid.uuid4().hex, name)
 
@@ -49,6 +57,7 @@ def table_path(spark: SparkSession, name: str) -> str:
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends here, whoever is lost later."""
     path = table_path(spark, name)
+    bound_batches(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -75,6 +84,7 @@ def positioned(docs: DataFrame) -> DataFrame:
     Rows of files are known by the file's path and the row's number in it, which are
     the same in every run over the same files; other tables are written first.
     """
+    bound_batches(docs.sparkSession)
     row = F.struct("*").alias("row")
     try:
         if "_metadata" not in docs.columns:
@@ -86,6 +96,7 @@ def positioned(docs: DataFrame) -> DataFrame:
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -33,6 +33,7 @@ texts; an empty table writes no shard.  Other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import struct
@@ -52,9 +53,9 @@ from .common import give_back, ranges, stored, text_blocks
 END = 2
 SHARD_IDS = 1 << 20
 SLOT_BITS = 18
-PAIRS_A_ROUND, MIN_COUNT = 4096, 16
-CACHE_WORDS, REST_WORDS = 250_000, 40_000
-TASK_BYTES = 48 << 20
+PAIRS_A_ROUND, MIN_COUNT = 8192, 16
+CACHE_WORDS, REST_WORDS = 400_000, 60_000
+TASK_BYTES = 32 << 20
 #: How a tokenizer's file says that texts are normalised and parted, where encoding by words is exact.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORDWISE = {
@@ -409,8 +410,9 @@ def _encode(path: str, shard_ids: int, grammar: dict):
             names = ["part", "seq", "first", "start", "n_ids", "n_docs", "shard"]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names)
 
+        gc.disable()  # what is made here has no cycles
         for batch in batches:
-            for lo, hi, data, offsets in text_blocks(batch.column(1), 2 << 20):
+            for lo, hi, data, offsets in text_blocks(batch.column(1), 4 << 20):
                 got, per_doc = encoder.encode(data, offsets)
                 doc_ids += batch.column(0).slice(lo, hi - lo).to_pylist()
                 ids.append(got)
@@ -423,6 +425,7 @@ def _encode(path: str, shard_ids: int, grammar: dict):
         if doc_ids:
             yield shard()
         encoder.rest()
+        gc.enable()
         give_back()
 
     return run

@@ -54,7 +54,7 @@ END = 2
 SHARD_IDS = 1 << 20
 SLOT_BITS = 18
 PAIRS_A_ROUND, MIN_COUNT = 8192, 16
-CACHE_WORDS, REST_WORDS = 400_000, 60_000
+CACHE_WORDS, REST_WORDS = 800_000, 250_000
 TASK_BYTES = 32 << 20
 #: How a tokenizer's file says that texts are normalised and parted, where encoding by words is exact.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -133,9 +133,10 @@ class WordEncoder:
         self.uses = np.zeros(1 << 14, np.int32)
 
     def rest(self) -> None:
-        """Keep little between tasks: a worker may not run this operator's next one."""
+        """Keep less between tasks: a worker may not run this operator's next one."""
         self._evict(REST_WORDS)
-        self._clear_pieces()
+        if len(self.pieces) > REST_WORDS:
+            self._clear_pieces()
 
     def _evict(self, most: int) -> None:
         """Keep the words that were met again since the last time, ``most`` at most; many words never are."""
@@ -282,17 +283,17 @@ def repair(
             found, count = np.unique(code[at], return_counts=True)
         found, count = found[count >= min_count], count[count >= min_count]
         code, slot = code[at], slot[at]
+        found = found[np.lexsort((found, -count))]
         lefts, rights, taken = set(), set(), []
-        for k in np.lexsort((found, -count)).tolist():
-            x, y = int(found[k]) >> half, int(found[k]) & ((1 << half) - 1)
-            if len(taken) == pairs:
-                break
+        for k, x, y in zip(range(len(found)), (found >> kind(half)).tolist(), (found & kind((1 << half) - 1)).tolist()):
             if x not in rights and y not in lefts and (x != y or (x not in lefts and y not in rights)):
                 lefts.add(x)
                 rights.add(y)
-                taken.append(found[k])
+                taken.append(k)
+                if len(taken) == pairs:
+                    break
         # One pair for each slot of the table, so that a table finds a position's pair; another of the slot waits for the next round.
-        taken = np.array(taken, kind)
+        taken = found[taken]
         where = (taken * kind(factor)) >> kind(shift)
         _, best = np.unique(where, return_index=True)
         taken, where = taken[np.sort(best)], where[np.sort(best)].astype(np.int64)
@@ -302,7 +303,7 @@ def repair(
         symbol = np.zeros(void + 1, np.uint32)
         wanted[where] = taken
         symbol[where] = terminals + len(rules) + np.arange(len(taken))
-        rules += [(int(c) >> half, int(c) & ((1 << half) - 1)) for c in taken]
+        rules += zip((taken >> kind(half)).tolist(), (taken & kind((1 << half) - 1)).tolist())
         good = wanted[slot] == code
         at = at[good]
         seq[at] = symbol[slot[good]]

@@ -262,12 +262,12 @@ def repair(
         # A pair is one 32-bit code where all symbols fit 16 bits, else one 64-bit code.
         narrow = terminals + len(rules) <= 1 << 16
         kind, half, factor, shift = (np.uint32, 16, 0x9E3779B1, 32 - SLOT_BITS) if narrow else (np.uint64, 32, 0x9E3779B97F4A7C15, 64 - SLOT_BITS)
-        a, b = seq[:-1].astype(kind), seq[1:].astype(kind)
-        code = a << kind(half) | b
-        slot = ((code * kind(factor)) >> kind(shift)).view(np.int32 if narrow else np.int64)
-        ends = np.flatnonzero(seq == end)
-        slot[ends[ends < len(slot)]] = void
-        slot[ends[ends > 0] - 1] = void
+        a, b = seq[:-1], seq[1:]
+        code = a.astype(kind, copy=False) << kind(half)
+        code |= b
+        slot = code * kind(factor)
+        slot >>= kind(shift)
+        slot = slot.astype(np.int64)
         twins = np.flatnonzero(a == b)
         if len(twins):  # of a run of one symbol, every second place
             first = np.concatenate([[True], np.diff(twins) != 1])
@@ -276,12 +276,13 @@ def repair(
         heat = np.bincount(slot, minlength=void + 1)
         heat[void] = 0
         bar = max(min_count, int(np.partition(heat, -2 * pairs)[-2 * pairs]))
-        at = np.flatnonzero((heat >= bar)[slot])
-        found, count = np.unique(code[at], return_counts=True)
-        if bar > min_count and not (count >= min_count).any():  # the hottest slots hold several rare pairs each
-            at = np.flatnonzero((heat >= min_count)[slot])
+        for least in sorted({bar, min_count}, reverse=True):  # the hottest slots may hold nothing but many rare pairs, or ends
+            at = np.flatnonzero((heat >= least)[slot])
             found, count = np.unique(code[at], return_counts=True)
-        found, count = found[count >= min_count], count[count >= min_count]
+            fit = (count >= min_count) & (found >> kind(half) != end) & (found & kind((1 << half) - 1) != end)
+            found, count = found[fit], count[fit]
+            if len(found):
+                break
         code, slot = code[at], slot[at]
         found = found[np.lexsort((found, -count))]
         lefts, rights, taken = set(), set(), []
@@ -296,7 +297,8 @@ def repair(
         taken = found[taken]
         where = (taken * kind(factor)) >> kind(shift)
         _, best = np.unique(where, return_index=True)
-        taken, where = taken[np.sort(best)], where[np.sort(best)].astype(np.int64)
+        best.sort()
+        taken, where = taken[best], where[best].astype(np.int64)
         if not len(taken):
             break
         wanted = np.full(void + 1, np.iinfo(kind).max, kind)
@@ -313,13 +315,25 @@ def repair(
     return seq, np.array(rules, np.uint32).reshape(-1, 2)
 
 
-def expansions(rules: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray]:
-    """(all expansions back to back, first position of each rule's and the end)."""
-    out: list[np.ndarray] = []
-    for pair in rules.tolist():
-        out.append(np.concatenate([out[x - terminals] if x >= terminals else np.array([x], np.uint32) for x in pair]))
-    size = np.array([len(x) for x in out], np.int64)
-    return (np.concatenate(out) if out else np.zeros(0, np.uint32)), np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+def lengths(rules: np.ndarray, terminals: int) -> np.ndarray:
+    """How many ids each rule stands for."""
+    out: list[int] = []
+    for x, y in rules.tolist():
+        out.append((out[x - terminals] if x >= terminals else 1) + (out[y - terminals] if y >= terminals else 1))
+    return np.array(out, np.int64)
+
+
+def expansions(rules: np.ndarray, sizes: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray]:
+    """(all expansions back to back, first position of each symbol's): terminals first, each its own, then rules."""
+    first = np.concatenate([np.arange(terminals + 1), terminals + np.cumsum(sizes)])
+    flat = np.empty(int(first[-1]), np.uint32)
+    flat[:terminals] = np.arange(terminals)
+    at = first.tolist()
+    for r, (x, y) in enumerate(rules.tolist()):
+        a, b, m = at[terminals + r], at[terminals + r + 1], at[x + 1] - at[x]
+        flat[a : a + m] = flat[at[x] : at[x + 1]]
+        flat[a + m : b] = flat[at[y] : at[y + 1]]
+    return flat, first
 
 
 def pack(doc_ids: list[int | None], ids: np.ndarray, per_doc: np.ndarray, vocabulary: int, **grammar) -> bytes:
@@ -332,13 +346,12 @@ def pack(doc_ids: list[int | None], ids: np.ndarray, per_doc: np.ndarray, vocabu
     inner[np.cumsum(per_doc) - 1] = vocabulary
     symbols, rules = repair(inner, terminals, vocabulary, **grammar)
     edge = np.concatenate([[0], np.flatnonzero(symbols == vocabulary) + 1])
-    _, first = expansions(rules, terminals)
     wide = len(symbols) and int(symbols.max()) > 0xFFFF
     return b"".join([
         MAGIC, struct.pack("<4I", len(doc_ids), len(rules), len(symbols), terminals),
         np.array([x or 0 for x in doc_ids], "<i8").tobytes(), np.array([x is None for x in doc_ids], "u1").tobytes(),
         per_doc.astype("<u4").tobytes(), edge.astype("<u4").tobytes(), rules.astype("<u4").tobytes(),
-        np.diff(first).astype("<u4").tobytes(), symbols.astype("<u4" if wide else "<u2").tobytes(),
+        lengths(rules, terminals).astype("<u4").tobytes(), symbols.astype("<u4" if wide else "<u2").tobytes(),
     ])
 
 
@@ -361,23 +374,17 @@ class Shard:
         self.doc_ids = [None if z else int(x) for x, z in zip(ids, nulls)]
         self.per_doc, self.edge = read("<u4", n).astype(np.int64), read("<u4", n + 1).astype(np.int64)
         self.rules, self.sizes = read("<u4", 2 * r).reshape(-1, 2), read("<u4", r).astype(np.int64)
-        self.symbols = read("<u4" if len(blob) - at == 4 * s and s else "<u2", s).astype(np.int64)
-        self.flat, self.first = expansions(self.rules, self.terminals)  # no rule holds the end of a document
+        self.symbols = read("<u4" if len(blob) - at == 4 * s and s else "<u2", s)
+        flat, first = expansions(self.rules, self.sizes, self.terminals)
+        flat[self.terminals - 1] = END  # no rule holds the end of a document
+        self.flat, self.first, self.length = flat, first.astype(np.int32), np.diff(first).astype(np.int32)
 
     def _expand(self, symbols: np.ndarray) -> np.ndarray:
-        high = np.flatnonzero(symbols >= self.terminals)
-        rule = symbols[high] - self.terminals
-        plain = symbols.astype(np.uint32)
-        plain[symbols == self.terminals - 1] = END
-        if not len(high):
-            return plain
-        size = np.ones(len(symbols), np.int64)
-        size[high] = self.sizes[rule]
-        out = np.repeat(plain, size)
-        begin = (np.cumsum(size) - size)[high]
-        inner = ranges(size[high])
-        out[np.repeat(begin, size[high]) + inner] = self.flat[np.repeat(self.first[rule], size[high]) + inner]
-        return out
+        size = self.length[symbols]
+        end = np.cumsum(size)
+        at = np.repeat(self.first[symbols] - (end - size).astype(np.int32), size)
+        at += np.arange(len(at), dtype=np.int32)
+        return self.flat[at]
 
     def document(self, k: int) -> np.ndarray:
         return self._expand(self.symbols[self.edge[k] : self.edge[k + 1]])
@@ -385,8 +392,7 @@ class Shard:
     def slice(self, k: int, start: int, stop: int) -> np.ndarray:
         """Ids start to stop of document k, expanding only the symbols that hold them."""
         part = self.symbols[self.edge[k] : self.edge[k + 1]]
-        size = np.where(part >= self.terminals, self.sizes[np.maximum(part - self.terminals, 0)], 1) if len(self.sizes) else np.ones(len(part), np.int64)
-        run = np.concatenate([[0], np.cumsum(size)])
+        run = np.concatenate([[0], np.cumsum(self.length[part])])
         a, b = int(np.searchsorted(run, start, "right")) - 1, int(np.searchsorted(run, stop, "left"))
         return self._expand(part[a:b])[start - run[a] : stop - run[a]]
 

@@ -333,6 +333,12 @@ def test_grammar_to_the_end_and_runs_of_one_symbol():
         assert out == flat.tolist()
 
 
+def test_grammar_where_most_pairs_hold_the_end(monkeypatch):
+    flat = np.array(([5, 99] * 400 + [6, 99] * 300 + [1, 2] * 20), np.uint32)
+    seq, rules = tokens.repair(flat, 100, 99, pairs=1)
+    assert rules[0].tolist() == [1, 2] and (seq == 99).sum() == 700
+
+
 @pytest.mark.parametrize("name", ["cased", "byte_bpe_50k.json"])
 def test_other_tokenizers_encode_whole_texts(spark, tmp_path, name):
     from tokenizers import Tokenizer, models, pre_tokenizers

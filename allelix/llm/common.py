@@ -78,6 +78,12 @@ def give_back() -> None:
         trim(0)
 
 
+def known_bytes(df: DataFrame) -> int | None:
+    """The size of a table as its plan's statistics have it, None where they do not."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return None if size >> 60 else size
+
+
 def positioned(docs: DataFrame) -> DataFrame:
     """(row, key): all columns of a row as one struct, and a key that no other row has, whatever the row holds.
 

@@ -111,6 +111,23 @@ class Network:
         z = z - z.max(1, keepdims=True)
         return z - np.log(np.exp(z).sum(1, keepdims=True))
 
+    def gradients(self, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        """Of the mean log loss: filters in the order of ``WIDTHS``, weights, bias."""
+        hidden, where = self.pool(x)
+        err = np.exp(self.logits(hidden))
+        err[np.arange(len(x)), y] -= 1
+        err /= len(x)
+        back = (err @ self.out.T) * (hidden > 0)
+        grads = []
+        for j, w in enumerate(WIDTHS):
+            part = slice(j * FILTERS, (j + 1) * FILTERS)
+            g = np.zeros_like(self.filters[w])
+            for k in range(w):
+                cls = np.take_along_axis(x, where[:, part] + k, 1)
+                np.add.at(g[k], (cls, np.arange(FILTERS)[None]), back[:, part])
+            grads.append(g)
+        return [*grads, np.maximum(hidden, 0).T @ err, err.sum(0)]
+
     def fit(self, x: np.ndarray, y: np.ndarray, seed: int = 42) -> None:
         rng = np.random.default_rng(seed)
         params = [*self.filters.values(), self.out, self.bias]
@@ -119,24 +136,8 @@ class Network:
         for epoch in range(EPOCHS):
             order = rng.permutation(len(x))
             for a in range(0, len(order), BATCH):
-                rows = order[a : a + BATCH]
-                xb, step = x[rows], step + 1
-                hidden, where = self.pool(xb)
-                relu = np.maximum(hidden, 0)
-                err = np.exp(self.logits(hidden))
-                err[np.arange(len(rows)), y[rows]] -= 1
-                err /= len(rows)
-                back = (err @ self.out.T) * (hidden > 0)
-                grads = []
-                for j, w in enumerate(WIDTHS):
-                    part = slice(j * FILTERS, (j + 1) * FILTERS)
-                    g = np.zeros_like(self.filters[w])
-                    for k in range(w):
-                        cls = np.take_along_axis(xb, where[:, part] + k, 1)
-                        np.add.at(g[k], (cls, np.arange(FILTERS)[None]), back[:, part])
-                    grads.append(g)
-                grads += [relu.T @ err, err.sum(0)]
-                for p, g, (m, s) in zip(params, grads, moments):
+                rows, step = order[a : a + BATCH], step + 1
+                for p, g, (m, s) in zip(params, self.gradients(x[rows], y[rows]), moments):
                     m += 0.1 * (g - m)
                     s += 0.01 * (g * g - s)
                     p -= RATE * (1 - epoch / EPOCHS) * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-6)

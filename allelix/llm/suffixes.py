@@ -18,7 +18,7 @@ bucket at a time, and most are settled by a difference-cover sample:
   occurrence, the owner's, is sorted with them.
 
 Ranks are needed for equality alone, so strings are sorted by 64-bit names (hashes;
-two different strings share one with probability 2**-64) instead of by letters.
+two different strings share one with a probability of about 2**-62) instead of by letters.
 
 Scale: texts are packed into units of about ``UNIT`` bytes, written once as a table
 bucketed by unit.  In each pass a unit sends every distinct name once, by bucket of
@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Roller, drop_path, give_back, stored, table_path, text_blocks
+from .common import Roller, bound_batches, drop_path, give_back, known_bytes, stored, table_path, text_blocks
 
 LENGTH = 200
 PERIOD = 133
@@ -53,8 +53,10 @@ PERIOD = 133
 COVER = (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109)
 SHORT, LONG = LENGTH - PERIOD + 1, LENGTH + PERIOD - 1
 UNIT = 1 << 20
-#: Names sorted in one bucket, about.
-BUCKET_NAMES = 1 << 19
+#: Names sorted in one bucket, about; tasks that buckets are dealt over, at most (each takes its buckets one after the other).
+BUCKET_NAMES, MOST_TASKS = 1 << 19, 1 << 14
+#: Bytes of units in one bucket of their table, about.
+TASK_BYTES = 128 << 20
 TRUNCATED = np.uint64(0xA0761D6478BD642F)
 UNITS = "unit long, n_bytes long, ids array<long>, offsets binary, body binary"
 NAMES = "bucket int, unit long, names binary"
@@ -278,8 +280,9 @@ class _Units:
 
     def __init__(self, docs: DataFrame):
         self.spark: SparkSession = docs.sparkSession
-        self.ways = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.ways = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), (known_bytes(docs) or 0) // TASK_BYTES)
         self.name, self.path = f"units_{uuid.uuid4().hex}", table_path(self.spark, "units")
+        bound_batches(self.spark)
         source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
         rows = source.mapInArrow(_units, UNITS).repartition(self.ways, "unit")
         rows.write.bucketBy(self.ways, "unit").option("path", self.path).option("compression", "uncompressed").saveAsTable(self.name)
@@ -307,7 +310,8 @@ def remove_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
             if answers is not None:
                 rows = rows.join(_gathered(answers).hint("shuffle_hash"), "unit", "left")
             sent = rows.mapInArrow(_send(step, bits), NAMES)
-            dealt = sent.repartitionById(max(1, 1 << bits[step]), F.col("bucket")).sortWithinPartitions("bucket")
+            tasks = min(1 << bits[step], MOST_TASKS)
+            dealt = sent.repartitionById(tasks, F.pmod("bucket", F.lit(tasks))).sortWithinPartitions("bucket")
             found = stored(spark, dealt.mapInArrow(_sort_buckets(KEEP[step]), BITS).withColumn("step", F.lit(step)), f"ranks_{step}")
             answers = found if answers is None else answers.unionByName(found)
         rows = units.table().select("unit", "ids", "offsets", "body").join(_gathered(answers).hint("shuffle_hash"), "unit", "left")

@@ -48,7 +48,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import give_back, ranges, stored, text_blocks
+from .common import give_back, known_bytes, ranges, stored, text_blocks
 
 END = 2
 SHARD_IDS = 1 << 20
@@ -441,8 +441,8 @@ def _encode(path: str, shard_ids: int, grammar: dict):
 def parts_for(docs: DataFrame) -> int:
     """Tasks of about ``TASK_BYTES`` of input, as Spark knows its size; two for each core at least."""
     spark = docs.sparkSession
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size >> 60:  # not known
+    size = known_bytes(docs)
+    if size is None:
         size = TASK_BYTES * int(spark.conf.get("spark.sql.shuffle.partitions"))
     return max(2 * spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
 

@@ -51,6 +51,55 @@ def test_tables_pool_like_the_network():
     assert np.allclose(langid._pooled(net.tables(), x), net.pool(x)[0], atol=1e-5)
 
 
+def test_network_against_loops():
+    """Pooling, probabilities and gradients against plain loops and finite differences."""
+    net = langid.Network(["a", "b", "c"], seed=3)
+    rng = np.random.default_rng(1)
+    x, y = rng.integers(0, langid.ALPHABET, (3, langid.WINDOW)).astype(np.uint8), np.array([0, 2, 1])
+    hidden = net.pool(x)[0]
+    for n in range(3):
+        for j, w in enumerate(langid.WIDTHS):
+            for f in range(0, langid.FILTERS, 5):
+                best = max(sum(float(net.filters[w][k][x[n, p + k], f]) for k in range(w)) for p in range(langid.WINDOW - w + 1))
+                assert abs(best - hidden[n, j * langid.FILTERS + f]) < 1e-4
+    z = [[sum(max(float(h), 0) * float(net.out[i, c]) for i, h in enumerate(row)) + float(net.bias[c]) for c in range(3)] for row in hidden]
+    logp = [[v - np.log(sum(np.exp(u) for u in row)) for v in row] for row in z]
+    assert np.allclose(net.logits(hidden), logp, atol=1e-4)
+    loss = lambda: -float(np.mean(net.logits(net.pool(x)[0]).astype(float)[np.arange(3), y]))
+    for p, g in zip([*net.filters.values(), net.out, net.bias], net.gradients(x, y)):
+        for at in np.argsort(-np.abs(g).ravel())[:4]:
+            old = p.ravel()[at]
+            p.ravel()[at] = old + 2e-3
+            up = loss()
+            p.ravel()[at] = old - 2e-3
+            down = loss()
+            p.ravel()[at] = old
+            assert abs((up - down) / 4e-3 - g.ravel()[at]) < 0.05 * abs(g.ravel()[at]) + 2e-3
+
+
+def test_a_text_is_scored_by_all_its_windows(spark):
+    net = langid.Network(["a", "b"], seed=5)
+    text = "some words for a longer text, " * 60 + "Ende"
+    got = langid.predict(spark.createDataFrame([(1, text)], "doc_id long, text string"), net).collect()[0]
+    body = langid.FOLD[np.frombuffer(text.encode(), np.uint8)]
+    windows = [np.pad(body[a : a + langid.WINDOW], (0, max(0, a + langid.WINDOW - len(body)))) for a in range(0, len(body), langid.WINDOW)]
+    mean = net.logits(net.pool(np.stack(windows))[0]).mean(0)
+    p = np.exp(mean) / np.exp(mean).sum()
+    assert got["lang_pred"] == "ab"[int(p.argmax())] and abs(got["score"] - p.max()) < 1e-4
+
+
+def test_factorization_machine_against_loops():
+    rng = np.random.default_rng(2)
+    terms = np.arange(10, 50, dtype=np.uint32)
+    model = toxicity.Model(0.3, terms, rng.normal(size=40), rng.normal(size=(40, 6)))
+    docs = [rng.choice(60, 15, replace=True).astype(np.uint32) for _ in range(5)]
+    got = model.scores(5, np.repeat(np.arange(5), 15), np.concatenate(docs))
+    for d, p in zip(docs, got):
+        here = sorted({int(t) - 10 for t in d if 10 <= t < 50})
+        raw = 0.3 + sum(model.w[i] for i in here) + sum(float(model.v[i] @ model.v[j]) for k, i in enumerate(here) for j in here[k + 1 :])
+        assert abs(p - 1 / (1 + np.exp(-raw))) < 1e-9
+
+
 def brute_repeats(rows, length=200):
     bodies = [(i, (t or "").encode()) for i, t, *_ in rows]
     seen = Counter(hash(b[p : p + length]) for _, b in bodies for p in range(len(b) - length + 1))
@@ -65,9 +114,11 @@ def brute_repeats(rows, length=200):
     return out
 
 
-@pytest.mark.parametrize("unit", [1 << 20, 3000])
-def test_repeats_match_brute_force(docs, corpus, no_docs, unit, monkeypatch):
+@pytest.mark.parametrize("unit, names, tasks", [(1 << 20, 1 << 19, 1 << 14), (3000, 1 << 19, 1 << 14), (3000, 500, 3)])
+def test_repeats_match_brute_force(docs, corpus, no_docs, unit, names, tasks, monkeypatch):
     monkeypatch.setattr(suffixes, "UNIT", unit)
+    monkeypatch.setattr(suffixes, "BUCKET_NAMES", names)
+    monkeypatch.setattr(suffixes, "MOST_TASKS", tasks)
     got = suffixes.remove_repeats(docs).collect()
     same(got, brute_repeats(corpus))
     assert sum(r["n_removed"] for r in got) > 2000
@@ -105,6 +156,15 @@ def test_toxicity_learns_pairs(spark):
     assert np.mean([p == y for p, y in out]) > 0.95
 
 
+def test_one_text_of_an_id_is_learnt_from(spark, monkeypatch):
+    sent, fit = [], toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda labels, sets, totals: sent.append(len(sets)) or fit(labels, sets, totals))
+    rows = [(1, f"bad words {k}") for k in range(500)] + [(2, "good words"), (3, "x " * toxicity.FIT_BYTES), (4, None)]
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 0), (1, 0)], "doc_id long, toxic int")
+    toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    assert sent == [3 - sum(not int(__import__("zlib").crc32(str(i).encode()) % 5) for i in (1, 2, 4))]
+
+
 def test_toxicity_without_both_classes(spark, docs, no_docs):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     rows = toxicity.score(docs, toxicity.train(docs, none)).collect()

@@ -13,13 +13,14 @@ band's own: a few pairs for each text, whatever the size of its buckets.  What t
 links becomes classes.  In the second round only pairs of different classes that
 share a bucket are compared; buckets of one class, which those of large groups have
 become, are left out before any pair is made.  No candidate pair that could join
-two classes is passed over, so texts that agree in most minima and yet have less
-than the similarity wanted, and are not linked by way of others, cost all their pairs.
+two classes is passed over, but pairs are looked at where their rows lie and only
+links that join classes leave a task.  Texts that agree in most minima, yet have less
+than the similarity wanted and no link by way of others, are still all compared.
 
 Scale: sets are named by 64-bit hashes, which a false merge takes to be equal.  The
 first round deals rows by range, so that a hot bucket spreads over tasks; the second
-deals the most frequent class of a bucket over parts of ``PART`` rows, with the rows
-of the bucket's other classes sent to each part.
+deals a bucket over tiles of at most two blocks of ``PART`` rows, so that a task holds
+a bounded number of sets.
 
 Defined results: words are parted and lower-cased as by SimHash; fewer than five
 words are one shingle; a text without words has no name and no link; ids are carried
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NONSPACE, Roller, mix, stored, text_blocks, word_spans
+from .common import LOWER, NONSPACE, Roller, mix, ranges, stored, text_blocks, word_spans
 from .simhash import components
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -44,8 +45,8 @@ BANDS, ROWS = 16, 4
 #: Least share of equal minima of a pair whose sets are compared.
 MAYBE = 0.6
 CHUNK = 4096
-#: Next rows that a row is compared with in the first round, and rows of a bucket's most frequent class in one part of the second.
-NEXT, PART = 2, 4096
+#: Next rows that a row is compared with in the first round, and rows of a block in the second.
+NEXT, PART = 2, 2048
 _RNG = np.random.default_rng(42)
 _A = _RNG.integers(1, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _B = _RNG.integers(1, 2**64, BANDS * ROWS, dtype=np.uint64)
@@ -143,32 +144,71 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, name, sketch = key[-NEXT:], name[-NEXT:], sketch[-NEXT:]
 
 
-def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, part, main, name, root, sketch), those of a part together, to its pairs of different classes; ``main`` marks the most frequent class."""
-
-    def pairs(rows: list) -> Iterator[pa.RecordBatch]:
-        main, name, root, sketch = (np.concatenate(c) for c in zip(*rows))
-        for k in np.flatnonzero(~main).tolist():
-            other = np.flatnonzero((root != root[k]) & (main | (np.arange(len(name)) > k)))
-            other = other[_alike(sketch[other], sketch[k])]
-            yield _pair(name[other], np.full(len(other), name[k]))
-
-    held: list[tuple[np.ndarray, ...]] = []
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.Table]]:
+    """(key, part, its rows), of rows (key, part, ...) that come part after part."""
+    held: list[pa.RecordBatch] = []
     last = None
     for batch in batches:
         if not batch.num_rows:
             continue
         key, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        columns = [batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy(), batch.column(4).to_numpy(), _grid(batch.column(5))]
         edges = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1
         for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(key)]):
-            if last is not None and last != (key[a], part[a]):
-                yield from pairs(held)
+            if held and last != (key[a], part[a]):
+                yield *last, pa.Table.from_batches(held)
                 held = []
             last = (key[a], part[a])
-            held.append(tuple(c[a:b] for c in columns))
+            held.append(batch.slice(a, b - a))
     if held:
-        yield from pairs(held)
+        yield *last, pa.Table.from_batches(held)
+
+
+def _sides(tile: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]:
+    """(rows of the smaller side, those of the other, root, sketch, whether both are the same rows)."""
+    first, root = tile.column("first").to_numpy(), tile.column("root").to_numpy()
+    sketch = _grid(tile.column("sketch"))
+    one = bool(first.all())
+    x, y = np.flatnonzero(first), np.arange(len(first)) if one else np.flatnonzero(~first)
+    return (*((x, y) if len(x) <= len(y) else (y, x)), root, sketch, one)
+
+
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, part, name, root, sketch, first) of tiles to those that may have a like of another class in their tile."""
+    for _, _, tile in _tiles(batches):
+        x, y, root, sketch, _ = _sides(tile)
+        keep = np.zeros(len(root), bool)
+        for k in x.tolist():
+            other = y[root[y] != root[k]]
+            other = other[_alike(sketch[other], sketch[k])]
+            keep[other] = True
+            keep[k] |= len(other) > 0
+        yield from tile.filter(pa.array(keep)).combine_chunks().to_batches()
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of tiles with their sets to links (a, b) of rows whose sets are similar; a link of what is connected already is left out."""
+    for _, _, tile in _tiles(batches):
+        x, y, label, sketch, one = _sides(tile)
+        name, sets = tile.column("name").to_numpy(), [np.frombuffer(v, np.uint64) for v in tile.column("hashes").to_pylist()]
+        size = np.array([len(v) for v in sets])
+        known, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        start = np.concatenate([[0], np.cumsum(size)])
+        label, mine, a, b = label.copy(), np.zeros(len(known), bool), [], []
+        for k in x.tolist():
+            other = y[(label[y] != label[k]) & ((y > k) | (not one))]
+            other = other[_alike(sketch[other], sketch[k])]
+            if not len(other):
+                continue
+            mine[flat[start[k] : start[k + 1]]] = True
+            both = mine[flat[np.repeat(start[other], size[other]) + ranges(size[other])]]
+            both = np.add.reduceat(both.astype(np.int64), np.cumsum(size[other]) - size[other])
+            mine[flat[start[k] : start[k + 1]]] = False
+            for n in other[both >= SIMILAR * (size[k] + size[other] - both)].tolist():
+                if label[n] != label[k]:
+                    a.append(name[k])
+                    b.append(name[n])
+                    label[label == label[n]] = label[k]
+        yield _pair(np.array(a, np.int64), np.array(b, np.int64))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,17 +228,38 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], ["a", "b"])
 
 
+def _sets_of(names: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(name, hashes) of the sets with these names."""
+    spark = docs.sparkSession
+    ids = stored(spark, reps.select("name", "doc_id").join(names, "name"), "wanted")
+    sets = docs.select("doc_id", "text").join(ids, "doc_id").select("name", "text").mapInArrow(_sets, "name long, hashes binary")
+    return stored(spark, sets.groupBy("name").agg(F.first("hashes").alias("hashes")), "sets")
+
+
 def _similar(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of names whose whole sets have a similarity of ``SIMILAR`` or more."""
-    spark = docs.sparkSession
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-    ids = stored(spark, reps.select("name", "doc_id").join(wanted, "name"), "wanted")
-    texts = docs.select("doc_id", "text").join(ids, "doc_id")
-    sets = texts.select("name", "text").mapInArrow(_sets, "name long, hashes binary")
-    sets = stored(spark, sets.groupBy("name").agg(F.first("hashes").alias("hashes")), "sets")
+    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct(), docs, reps)
     side = lambda end: sets.select(F.col("name").alias(end), F.col("hashes").alias(f"{end}_hashes"))
     rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_hashes", "b_hashes")
-    return stored(spark, rows.mapInArrow(_verified, "a long, b long"), "similar")
+    return stored(docs.sparkSession, rows.mapInArrow(_verified, "a long, b long"), "similar")
+
+
+def _dealt(rows: DataFrame, mixed: DataFrame) -> DataFrame:
+    """Rows (key, name, sketch, root) of mixed buckets to tiles: (key, part, name, root, sketch, first).
+
+    The rows of the bucket's most frequent class, and the others, are dealt over blocks of
+    about ``PART`` rows.  A tile is a pair of blocks, one of others at least; ``first`` marks
+    the rows of its first block (all rows, where a block meets itself).
+    """
+    part = lambda i, j: F.shiftleft(i.cast("long"), 31) + j
+    row = rows.join(mixed, "key").withColumn("h", F.xxhash64("name")).withColumn("main", F.col("root") == F.col("top"))
+    row = row.withColumn("block", F.when(F.col("main"), F.pmod("h", "mains")).otherwise(F.col("mains") + F.pmod("h", "others")).cast("long"))
+    tile = lambda c, first: F.struct(part(F.least("block", c), F.greatest("block", c)).alias("part"), first.alias("first"))
+    own, lead = F.col("block"), F.lit(0).cast("long")
+    rest = F.transform(F.sequence("mains", F.col("mains") + F.col("others") - 1), lambda c: tile(c, own <= c))
+    every = F.concat(F.transform(F.sequence(lead, F.col("mains") - 1), lambda c: tile(c, own <= c)), rest)
+    row = row.select("key", F.explode(F.when(F.col("main"), rest).otherwise(every)).alias("t"), "name", "root", "sketch")
+    return row.select("key", "t.part", "name", "root", "sketch", "t.first")
 
 
 def similar_pairs(docs: DataFrame, sketched: DataFrame) -> DataFrame:
@@ -220,11 +281,13 @@ def similar_pairs(docs: DataFrame, sketched: DataFrame) -> DataFrame:
     rows = rows.join(roots, "name", "left").select("key", "name", "sketch", F.coalesce("root", "name").alias("root"))
     rows = stored(spark, rows, "classed")
     counts = rows.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key")
-    mixed = counts.agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("classes")).filter("classes > 1")
-    mixed = stored(spark, mixed.select("key", F.col("top.root").alias("top"), (F.col("top.n") / PART).cast("int").alias("more")), "mixed")
-    joined = rows.join(mixed, "key").withColumn("main", F.col("root") == F.col("top"))
-    dealt = F.array(F.pmod(F.xxhash64("name"), F.col("more") + 1).cast("int"))
-    parts = F.when(F.col("main"), dealt).otherwise(F.sequence(F.lit(0), "more"))
-    joined = joined.select("key", F.explode(parts).alias("part"), "main", "name", "root", "sketch")
-    cross = joined.repartition(ways, "key", "part").sortWithinPartitions("key", "part").mapInArrow(_crossing, "a long, b long").distinct()
-    return first.unionByName(_similar(stored(spark, cross, "crossing"), docs, reps))
+    mixed = counts.agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("classes")).filter("classes > 1")
+    blocks = lambda n: (n / PART).cast("long") + 1
+    mixed = mixed.select("key", F.col("top.root").alias("top"), blocks(F.col("top.n")).alias("mains"), blocks(F.col("n") - F.col("top.n")).alias("others"))
+    kind = "key long, part long, name long, root long, sketch binary, first boolean"
+    tiles = _dealt(rows, stored(spark, mixed, "mixed")).repartition(ways, "key", "part").sortWithinPartitions("key", "part")
+    tiles = stored(spark, tiles.mapInArrow(_likely, kind), "tiles")
+    sets = _sets_of(tiles.select("name").distinct(), docs, reps)
+    tiles = tiles.join(sets, "name").select("key", "part", "name", "root", "sketch", "first", "hashes")
+    tiles = tiles.repartition(ways, "key", "part").sortWithinPartitions("key", "part")
+    return first.unionByName(stored(spark, tiles.mapInArrow(_joined, "a long, b long"), "joined"))

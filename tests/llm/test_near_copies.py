@@ -58,10 +58,10 @@ def test_stage_drops_moderate_near_copies(spark):
 
 
 def test_large_groups_cost_a_few_pairs_for_each_text(spark, monkeypatch):
-    """Classes of a chain and of a large group, by brute force, while the pairs compared stay far below all pairs."""
+    """Classes of a chain, of a large group and of its outliers, by brute force, while what leaves a task stays far below all pairs."""
     rng = random.Random(8)
     base = [f"w{k}" for k in range(300)]
-    texts = [" ".join(_edited(rng, base, 2).split()) for _ in range(300)]
+    texts = [_edited(rng, base, 2) for _ in range(200)] + [_edited(rng, base, 6) for _ in range(120)] + [_edited(rng, base, 15) for _ in range(60)]
     chain = list(base) + ["end"] * 5
     for k in range(60):  # each like the one before, the ends unlike
         chain = [f"c{k}x{j}" if j // 5 == k else w for j, w in enumerate(chain)]
@@ -69,14 +69,16 @@ def test_large_groups_cost_a_few_pairs_for_each_text(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     sketched = shingles.sketches(df)
     name = [r["name"] for r in sorted(sketched.collect())]
-    compared, check = [], shingles._similar
-    monkeypatch.setattr(shingles, "_similar", lambda pairs, *rest: compared.append(pairs.count()) or check(pairs, *rest))
-    monkeypatch.setattr(shingles, "PART", 7)
-    links = [tuple(r) for r in shingles.similar_pairs(df, sketched).collect()]
     at = {n: i for i, n in enumerate(name)}
     want = [(i, j) for i, j in combinations(range(len(texts)), 2) if _similarity(texts[i], texts[j]) >= 0.8]
-    assert _classes(len(texts), [(at[a], at[b]) for a, b in links]) == _classes(len(texts), want)
-    assert len(want) > 40_000 and sum(compared) < len(want) / 4
+    compared, check = [], shingles._similar
+    monkeypatch.setattr(shingles, "_similar", lambda pairs, *rest: compared.append(pairs.count()) or check(pairs, *rest))
+    for part in (2048, 9):
+        monkeypatch.setattr(shingles, "PART", part)
+        links = [tuple(r) for r in shingles.similar_pairs(df, sketched).collect()]
+        assert {tuple(sorted((at[a], at[b]))) for a, b in links} <= set(want)
+        assert _classes(len(texts), [(at[a], at[b]) for a, b in links]) == _classes(len(texts), want)
+        assert len(want) > 15_000 and compared.pop() + len(links) < len(want) / 2
 
 
 def test_stage_judges_rows_without_ids_and_repeated_ids(spark):

@@ -88,10 +88,11 @@ BYTE_LETTERS = _byte_letters()
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
 
-def encoder_of(path: str) -> "WordEncoder":
+def encoder_of(path: str, words: tuple[int, int] | None = None) -> "WordEncoder":
     """The worker's encoder for a file; it keeps the words that it meets often from task to task."""
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
+    _ENCODERS[path].most, _ENCODERS[path].kept = words or (CACHE_WORDS, REST_WORDS)
     return _ENCODERS[path]
 
 
@@ -114,7 +115,9 @@ def _room(a: np.ndarray, n: int) -> np.ndarray:
 
 
 class WordEncoder:
-    """Encodes texts by way of their distinct words; ``CACHE_WORDS`` words at most are known, and those of a block."""
+    """Encodes texts by way of their distinct words; ``most`` words are known at most, and those of a block."""
+
+    most, kept = CACHE_WORDS, REST_WORDS
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -134,8 +137,8 @@ class WordEncoder:
 
     def rest(self) -> None:
         """Keep less between tasks: a worker may not run this operator's next one."""
-        self._evict(REST_WORDS)
-        if len(self.pieces) > REST_WORDS:
+        self._evict(self.kept)
+        if len(self.pieces) > self.kept:
             self._clear_pieces()
 
     def _evict(self, most: int) -> None:
@@ -214,9 +217,9 @@ class WordEncoder:
         """(ids of all texts with an end id after each, number of ids of each text)."""
         if not self.wordwise:
             return self._encode_whole(data.tobytes(), offsets)
-        if len(self.numbers) > CACHE_WORDS:
-            self._evict(CACHE_WORDS // 2)
-        if len(self.pieces) > CACHE_WORDS:
+        if len(self.numbers) > self.most:
+            self._evict(self.most // 2)
+        if len(self.pieces) > self.most:
             self._clear_pieces()
         body = data.tobytes()
         numbers, count = [], []
@@ -400,9 +403,9 @@ class Shard:
         return self._expand(self.symbols)
 
 
-def _encode(path: str, shard_ids: int, grammar: dict):
+def _encode(path: str, shard_ids: int, words: tuple[int, int] | None, grammar: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(path)
+        encoder = encoder_of(path, words)
         vocabulary = encoder.tokenizer.get_vocab_size()
         part, seq, start = TaskContext.get().partitionId(), 0, 0
         doc_ids: list[int | None] = []
@@ -447,14 +450,18 @@ def parts_for(docs: DataFrame) -> int:
     return max(2 * spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
 
 
-def write_shards(docs: DataFrame, path: str, shard_ids: int = SHARD_IDS, **grammar) -> DataFrame:
-    """Encode and write; returns the shard table as read back from its files.  ``grammar`` are the parameters of ``repair``."""
+def write_shards(docs: DataFrame, path: str, shard_ids: int = SHARD_IDS, words: tuple[int, int] | None = None, **grammar) -> DataFrame:
+    """Encode and write; returns the shard table as read back from its files.
+
+    ``words`` are how many words a worker remembers, within a task and from task to task:
+    fewer take less memory and more time.  ``grammar`` are the parameters of ``repair``.
+    """
     order = ["doc_id", "hash", "place"]
     source = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("place")
     )
     ordered = source.repartitionByRange(parts_for(docs), *order).sortWithinPartitions(*order).select("doc_id", "text")
-    return stored(docs.sparkSession, ordered.mapInArrow(_encode(path, shard_ids, grammar), SHARDS), "shards")
+    return stored(docs.sparkSession, ordered.mapInArrow(_encode(path, shard_ids, words, grammar), SHARDS), "shards")
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -70,7 +70,8 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def to_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token-ID output (10): the ids of all documents in compressed shards, read back; null and empty texts have the end id alone."""
-    return tokens.read_documents(tokens.write_shards(docs, vocabulary_path()))
+    # Workers still hold some of what earlier stages took, so they remember fewer words than where this operator runs alone.
+    return tokens.read_documents(tokens.write_shards(docs, vocabulary_path(), words=(150_000, 10_000)))
 
 
 STAGES = [

@@ -232,7 +232,8 @@ def _sets_of(names: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     """(name, hashes) of the sets with these names."""
     spark = docs.sparkSession
     ids = stored(spark, reps.select("name", "doc_id").join(names, "name"), "wanted")
-    sets = docs.select("doc_id", "text").join(ids, "doc_id").select("name", "text").mapInArrow(_sets, "name long, hashes binary")
+    # Texts are dealt by id at every size, and the ids' side is the one that is held.
+    sets = docs.select("doc_id", "text").join(ids.hint("shuffle_hash"), "doc_id").select("name", "text").mapInArrow(_sets, "name long, hashes binary")
     return stored(spark, sets.groupBy("name").agg(F.first("hashes").alias("hashes")), "sets")
 
 

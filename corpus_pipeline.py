@@ -48,8 +48,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     known = fps.withColumn("node", node("fp", F.col("fp"))).join(roots, "node", "left")
     keepers = known.groupBy(F.coalesce("root", "node").alias("group")).agg(F.min("least").alias("doc_id"))
     drop = prints.select("doc_id").join(stored(spark, keepers.select("doc_id"), "keepers"), "doc_id", "left_anti")
-    drop = stored(spark, drop.select("doc_id.key"), "drop")  # its size is known when the join is planned
-    return rows.join(drop, "key", "left_anti").select("row.*")
+    drop = stored(spark, drop.select("doc_id.key"), "drop")
+    return rows.join(drop.hint("shuffle_hash"), "key", "left_anti").select("row.*")  # texts are dealt by key at every size
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import pearson
+from .blocks import pair_sums as block_sums
 from .windows import with_halo
 
 SLACK = 1 + 1e-12
@@ -101,19 +102,15 @@ def clump(hits: DataFrame, pairs: DataFrame, threshold: float, alpha: float) ->
     return significant.groupBy("chrom").cogroup(pairs.select("chrom", "i", "j", "r2").groupBy("chrom")).applyInPandas(_clump_chrom(threshold), kind)
 
 
-def _sample_pairs(geno: DataFrame) -> DataFrame:
-    calls = geno.filter("g is not null")
-    a = calls.select("site_id", F.col("sample_id").alias("i"), F.col("g").alias("gi"))
-    b = calls.select("site_id", F.col("sample_id").alias("j"), F.col("g").alias("gj"))
-    return a.join(b, "site_id")
-
-
 def king(geno: DataFrame) -> DataFrame:
     """Kinship of sample pairs over shared sites: (both het - 2 opposite homozygotes) / (het_i + het_j)."""
-    gi, gj = F.col("gi"), F.col("gj")
-    pairs = _sample_pairs(geno).filter("i < j").groupBy("i", "j").agg(
-        F.count(F.lit(1)).alias("shared"), F.count_if(F.abs(gi - gj) == 2).alias("ibs0"), F.count_if(F.abs(gi - gj) == 1).alias("ibs1"),
-        F.count_if(gi == gj).alias("ibs2"), F.count_if(gi == 1).alias("het_i"), F.count_if(gj == 1).alias("het_j"), F.count_if((gi == 1) & (gj == 1)).alias("both_het"),
+    calls = geno.filter("g is not null").select("site_id", "sample_id", F.lit(1).alias("one"), *((F.col("g") == v).cast("int").alias(f"g{v}") for v in (0, 1, 2)))
+    products = [(2, 0), (0, 2), (2, 2), (1, 3), (3, 1), (1, 1), (3, 3)]
+    s = block_sums(calls, "site_id", "sample_id", ["one", "g0", "g1", "g2"], products)
+    n, het_i, het_j, both, up, down, hom0, hom2 = (F.col(c).cast("long") for c in ("n", *(f"s{x}" for x in range(7))))
+    pairs = s.select(
+        "i", "j", n.alias("shared"), (up + down).alias("ibs0"), (n - up - down - both - hom0 - hom2).alias("ibs1"), (both + hom0 + hom2).alias("ibs2"),
+        het_i.alias("het_i"), het_j.alias("het_j"), both.alias("both_het"),
     )
     return pairs.withColumn("kinship", F.try_divide((F.col("both_het") - 2 * F.col("ibs0")).cast("double"), F.col("het_i") + F.col("het_j")))
 
@@ -142,9 +139,7 @@ def grm(geno: DataFrame, rates: DataFrame, method: int = 1) -> DataFrame:
     var = 2 * F.col("freq") * (1 - F.col("freq"))
     scale = p.agg(F.sum(var).alias("total"), F.count(F.lit(1)).alias("m"))
     z = geno.filter("g is not null").join(p, "site_id").withColumn("z", (F.col("g") - 2 * F.col("freq")) / (F.sqrt(var) if method == 2 else F.lit(1.0)))
-    a = z.select("site_id", F.col("sample_id").alias("i"), F.col("z").alias("zi"))
-    b = z.select("site_id", F.col("sample_id").alias("j"), F.col("z").alias("zj"))
-    sums = a.join(b, "site_id").filter("i <= j").groupBy("i", "j").agg(F.sum(F.col("zi") * F.col("zj")).alias("s"))
+    sums = block_sums(z, "site_id", "sample_id", ["z"], [(0, 0)], diagonal=True).withColumnRenamed("s0", "s")
     return sums.join(F.broadcast(scale), F.lit(True)).select("i", "j", (F.col("s") / (F.col("m") if method == 2 else F.col("total"))).alias("k"))
 
 
@@ -166,22 +161,19 @@ def jc69(mismatch: Column) -> Column:
 
 def sequence_distances(bases: DataFrame, least: int) -> DataFrame:
     """Distance of each pair of taxa over sites where both are A, C, G or T; 1 where they share too few."""
-    ok = bases.filter(F.col("base").isin("A", "C", "G", "T"))
-    a = ok.select("site_id", F.col("taxon").alias("i"), F.col("base").alias("bi"))
-    b = ok.select("site_id", F.col("taxon").alias("j"), F.col("base").alias("bj"))
-    s = a.join(b, "site_id").filter("i < j").groupBy("i", "j").agg(F.count(F.lit(1)).alias("shared"), F.count_if(F.col("bi") != F.col("bj")).alias("different"))
+    ok = bases.filter(F.col("base").isin("A", "C", "G", "T")).select("site_id", "taxon", *((F.col("base") == x).cast("int").alias(x) for x in "ACGT"))
+    same = F.col("s0") + F.col("s1") + F.col("s2") + F.col("s3")
+    s = block_sums(ok, "site_id", "taxon", list("ACGT"), [(x, x) for x in range(4)]).select("i", "j", F.col("n").alias("shared"), (F.col("n") - same.cast("long")).alias("different"))
     rate = F.col("different") / F.col("shared")
     return s.withColumn("distance", F.when(F.col("shared") < least, 1.0).otherwise(jc69(rate)))
 
 
 def correlation_pairs(long: DataFrame, unit: str, feature: str, value: str) -> DataFrame:
     """Pearson correlation of feature pairs over units with both."""
-    a = long.select(unit, F.col(feature).alias("i"), F.col(value).alias("x"))
-    b = long.select(unit, F.col(feature).alias("j"), F.col(value).alias("y"))
-    x, y = F.col("x"), F.col("y")
-    s = a.join(b, unit).filter("i < j").groupBy("i", "j").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"), F.sum(x * y).alias("sxy"))
-    return s.withColumn("r", pearson(*(F.col(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")))).select("i", "j", "n", "r")
+    cells = long.select(unit, feature, F.lit(1).alias("one"), F.col(value).cast("double").alias("x")).filter("x is not null").withColumn("xx", F.col("x") * F.col("x"))
+    s = block_sums(cells, unit, feature, ["one", "x", "xx"], [(1, 0), (0, 1), (2, 0), (0, 2), (1, 1)])
+    s = s.withColumn("r", pearson(F.col("n").cast("double"), *(F.col(f"s{x}") for x in range(5))))
+    return s.select("i", "j", "n", "r")
 
 
 def adjacency(pairs: DataFrame, power: int, signed: bool = False) -> DataFrame:
@@ -193,7 +185,6 @@ def topological_overlap(adj: DataFrame) -> DataFrame:
     """(l_ij + a_ij) / (min(k_i, k_j) + 1 - a_ij), with l the paths of length two and k the degrees."""
     both = adj.unionByName(adj.select(F.col("j").alias("i"), F.col("i").alias("j"), "a"))
     degree = both.groupBy("i").agg(F.sum("a").alias("k"))
-    left, right = both.select("i", F.col("j").alias("u"), F.col("a").alias("a1")), both.select(F.col("i").alias("u"), "j", F.col("a").alias("a2"))
-    paths = left.join(right, "u").filter("i < j").groupBy("i", "j").agg(F.sum(F.col("a1") * F.col("a2")).alias("l"))
+    paths = block_sums(both, "j", "i", ["a"], [(0, 0)]).select("i", "j", F.col("s0").alias("l"))
     t = adj.join(paths, ["i", "j"], "left").join(degree.withColumnRenamed("k", "ki"), "i").join(degree.select(F.col("i").alias("j"), F.col("k").alias("kj")), "j")
     return t.select("i", "j", ((F.coalesce("l", F.lit(0.0)) + F.col("a")) / (F.least("ki", "kj") + 1 - F.col("a"))).alias("tom"))

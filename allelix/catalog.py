@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import core, kmers, models, more, panels, positions, tables  # noqa: F401
+from .plans import core, further, kmers, models, more, panels, positions, tables  # noqa: F401
 from .plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

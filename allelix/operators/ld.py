@@ -51,7 +51,8 @@ def _prune_chrom(threshold: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         maf = dict(zip(pdf["i"], pdf["maf_i"])) | dict(zip(pdf["j"], pdf["maf_j"]))
         gone: set = set()
-        for r in pdf[pdf["r2"] > threshold * SLACK].sort_values(["pos_i", "i", "pos_j", "j"]).itertuples():
+        order = [*(["window"] if "window" in pdf else []), "pos_i", "i", "pos_j", "j"]
+        for r in pdf[pdf["r2"] > threshold * SLACK].sort_values(order).itertuples():
             if r.i in gone or r.j in gone:
                 continue
             gone.add(r.i if maf[r.i] < (1 - 1e-12) * maf[r.j] else r.j)
@@ -72,6 +73,32 @@ def prune(pairs: DataFrame, rates: DataFrame, sites: DataFrame, threshold: float
     return p.groupBy("chrom").applyInPandas(_prune_chrom(threshold), "site_id long")
 
 
+def by_count(sites: DataFrame) -> DataFrame:
+    """Sites with their number on the chromosome, from 0, as ``pos``: windows over it count variants.
+
+    Ordered by one task for a chromosome, three columns of its sites only.
+    """
+    n = F.row_number().over(Window.partitionBy("chrom").orderBy("pos", "site_id")) - 1
+    return sites.select("site_id", "chrom", n.cast("long").alias("pos"))
+
+
+def prune_count(geno: DataFrame, rates: DataFrame, sites: DataFrame, variants: int, step: int, threshold: float) -> DataFrame:
+    """Sites that pruning removes in windows of so many variants, moved on by ``step``.
+
+    A pair is decided in the first window that holds both; windows go in order, pairs of
+    a window by their sites, and the rule is that of ``prune``.  A pair that no window
+    holds is never compared.
+    """
+    numbered = by_count(sites)
+    a, b = F.col("pos_i"), F.col("pos_j")
+    pairs = r_squared(pair_sums(geno, numbered, max(variants - 1, 1))).filter(F.col("r2") > threshold).select("chrom", "i", "j", "r2")
+    info = rates.select("site_id", "maf").join(numbered.select("site_id", "pos"), "site_id")
+    for e in ("i", "j"):
+        pairs = pairs.join(info.select(F.col("site_id").alias(e), F.col("maf").alias(f"maf_{e}"), F.col("pos").alias(f"pos_{e}")), e)
+    first = F.greatest(F.ceil((b - variants + 1) / step), F.lit(0))
+    return pairs.withColumn("window", first).filter((F.col("window") * step <= a) & (b - a < variants)).groupBy("chrom").applyInPandas(_prune_chrom(threshold), "site_id long")
+
+
 def _clump_chrom(threshold: float):
     def run(hits: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
         near: dict = {}

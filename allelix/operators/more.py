@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import TINY, pearson
 from .intervals import merge_ranges
+from .windows import global_rank
 
 
 def align_samples(*tables: DataFrame, key: str = "sample_id") -> DataFrame:
@@ -39,7 +40,7 @@ def significant_table(hits: DataFrame, threshold: float) -> DataFrame:
     """Hits at or below the threshold, one for each position (the least p), numbered by p."""
     w = Window.partitionBy("chrom", "pos").orderBy("p", "site_id")
     best = hits.filter(F.col("p") <= threshold).withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
-    return best.withColumn("rank", F.row_number().over(Window.orderBy("p", "site_id")).cast("long"))
+    return global_rank(best, "p", "site_id")
 
 
 def lead_windows(hits: DataFrame, threshold: float, reach: int) -> DataFrame:
@@ -50,7 +51,10 @@ def lead_windows(hits: DataFrame, threshold: float, reach: int) -> DataFrame:
 
 def lead_r2(geno: DataFrame, sites: DataFrame, lead: DataFrame, reach: int) -> DataFrame:
     """(lead, site_id, r2) of each lead site with the sites within reach, missing calls as the site's mean."""
-    near = lead.select(F.col("site_id").alias("lead"), "chrom", F.col("pos").alias("_p")).join(sites.select("site_id", "chrom", "pos"), "chrom").filter(F.abs(F.col("pos") - F.col("_p")) <= reach)
+    size = max(reach, 1)  # a lead meets the sites of its own bin and the two beside it
+    bins = F.explode(F.array(*(F.floor(F.col("pos") / size) + x for x in (-1, 0, 1)))).alias("_bin")
+    binned = sites.select("site_id", "chrom", "pos", F.floor(F.col("pos") / size).alias("_bin"))
+    near = lead.select(F.col("site_id").alias("lead"), "chrom", F.col("pos").alias("_p"), bins).join(binned, ["chrom", "_bin"]).filter(F.abs(F.col("pos") - F.col("_p")) <= reach)
     mean = geno.groupBy("site_id").agg(F.avg("g").alias("m"))
     full = geno.join(mean, "site_id").select("site_id", "sample_id", F.coalesce(F.col("g").cast("double"), F.col("m"), F.lit(0.0)).alias("x"))
     a = near.select("lead", "site_id").join(full.select(F.col("site_id").alias("lead"), "sample_id", F.col("x").alias("a")), "lead")
@@ -68,6 +72,16 @@ def clean_chrom(c: Column) -> Column:
     return F.when(name.isin("", "NA", "NULL", "NAN"), None).otherwise(F.coalesce(number, name))
 
 
+def plain_chrom(c: Column) -> Column:
+    """Trimmed, without chr in any case; the case of the rest stays."""
+    return F.regexp_replace(F.trim(c), "^(?i)chr", "")
+
+
+def rows_at(sites: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Sites in the order of a list: ``wanted`` are (idx, chrom, pos); positions that no site has go."""
+    return sites.join(wanted.select("idx", "chrom", "pos"), ["chrom", "pos"])
+
+
 def iupac(a: Column, b: Column) -> Column:
     """The code of a pair of bases; N where either is none."""
     pair = F.array_join(F.array_sort(F.array(a, b)), "")
@@ -85,11 +99,11 @@ def clamp_p(p: Column) -> Column:
 
 def compress_effects(effects: DataFrame, keep: int, buckets: int) -> DataFrame:
     """The strongest effects, and of the others the strongest in each stretch of the genome."""
-    strong = F.row_number().over(Window.orderBy(F.desc(F.abs("beta")), "site_id"))
-    ranked = effects.withColumn("_r", strong)
-    rest = ranked.filter(F.col("_r") > keep).withColumn("_b", F.floor(F.col("pos") / buckets))
-    best = rest.withColumn("_k", F.row_number().over(Window.partitionBy("chrom", "_b").orderBy("_r"))).filter("_k = 1")
-    return ranked.filter(F.col("_r") <= keep).drop("_r").unionByName(best.drop("_r", "_b", "_k"))
+    strength = [F.desc(F.abs("beta")), "site_id"]
+    strong = effects.orderBy(*strength).limit(keep)
+    rest = effects.join(F.broadcast(strong.select("site_id")), "site_id", "left_anti").withColumn("_b", F.floor(F.col("pos") / buckets))  # ``keep`` rows
+    best = rest.withColumn("_k", F.row_number().over(Window.partitionBy("chrom", "_b").orderBy(*strength))).filter("_k = 1")
+    return strong.unionByName(best.drop("_b", "_k"))
 
 
 def prepared_sites(rates: DataFrame, maf: float, miss: float) -> DataFrame:

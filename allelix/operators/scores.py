@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import pearson
+from .blocks import pair_sums
+
+_PARTS = re.compile(r"(\{[ij]\})")
 
 
 def confusion(hits: DataFrame, response: DataFrame, key: str) -> DataFrame:
@@ -62,6 +67,50 @@ def best_conjunctions(hits: DataFrame, response: DataFrame, key: str, beam: int,
         out = best if out is None else out.unionByName(best)
         if level < depth:
             grow = rules.join(F.broadcast(best.select("rule")), "rule").join(feats, "sample_id")
-            grow = grow.filter(F.col("f") > F.element_at("rule", -1))
-            rules = grow.select(F.concat("rule", F.array("f")).alias("rule"), "sample_id")
+            grow = grow.filter(~F.array_contains("rule", F.col("f")))
+            rules = grow.select(F.array_sort(F.concat("rule", F.array("f"))).alias("rule"), "sample_id").distinct()
     return out
+
+
+#: Rules of two features, in the order in which ties are decided: (text, whether i counts, whether j counts).
+LITERALS = (("{i}&{j}", True, True), ("{i}&!{j}", True, False), ("!{i}&{j}", False, True), ("!{i}&!{j}", False, False))
+
+
+def best_and_not(hits: DataFrame, response: DataFrame, key: str, group: str) -> DataFrame:
+    """(group, rule, depth, score): the best rule of each group by MCC among all single features, all pairs, and their negations.
+
+    ``hits`` are distinct (group, key, sample_id) where a feature is on; a feature that
+    no sample has is in no rule.  Nothing is pruned: pairs are summed in tiles of
+    blocks of features, and a further unit of each group, of value 0, gives the pairs
+    that no sample has together.  Ties go to the shorter rule, then to the earlier
+    form, then to smaller ids.
+    """
+    on = hits.select(group, F.col(key).cast("long").alias("f"), "sample_id").join(response, "sample_id")
+    groups = on.groupBy(group).agg(F.count(F.lit(1)).alias("_c")).select(group)
+    single = on.groupBy(group, "f").agg(F.count(F.lit(1)).alias("on"), F.sum(F.col("y").cast("long")).alias("tp"))
+    unit = lambda sample: F.xxhash64(group, sample)
+    cells = on.select(unit(F.col("sample_id").cast("long")).alias("u"), "f", F.lit(1).alias("one"), "y")
+    more = single.join(groups, group).select(unit(F.lit(None).cast("long")).alias("u"), "f", F.lit(0).alias("one"), F.lit(0).alias("y"))
+    both = pair_sums(cells.unionByName(more), "u", "f", ["one", "y"], [(0, 0), (1, 0)]).select("i", "j", F.col("s0").cast("long").alias("n"), F.col("s1").cast("long").alias("t"))
+    a, b = (single.select(F.col("f").alias(x), F.col("on").alias(f"on_{x}"), F.col("tp").alias(f"tp_{x}"), *([group] if x == "i" else [])) for x in "ij")
+    totals = response.agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col("y").cast("long")).alias("_p"))
+    pairs = both.join(a, "i").join(b, "j").join(F.broadcast(totals), F.lit(True))  # one row
+
+    def counted(x: str, y: str, z: str, total: str, left: bool, right: bool) -> Column:
+        x, y, z, total = F.col(x), F.col(y), F.col(z), F.col(total)
+        if left:
+            return z if right else x - z
+        return y - z if right else total - x - y + z
+
+    def rule(place: int, text: str, depth: int, n: Column, tp: Column) -> Column:
+        i, j = F.col("i").cast("string"), F.col("j").cast("string")
+        parts = [i if p == "{i}" else j if p == "{j}" else F.lit(p) for p in _PARTS.split(text) if p]
+        return F.struct(F.lit(depth).cast("long").alias("depth"), F.lit(place).alias("place"), "i", "j", F.concat(*parts).alias("rule"), n.alias("on"), tp.alias("tp"))
+
+    two = F.array(*(rule(k, text, 2, counted("on_i", "on_j", "n", "_n", p, q), counted("tp_i", "tp_j", "t", "_p", p, q)) for k, (text, p, q) in enumerate(LITERALS)))
+    ones = single.select(group, F.col("f").alias("i"), F.lit(None).cast("long").alias("j"), "on", "tp").join(F.broadcast(totals), F.lit(True))
+    one = F.array(rule(0, "{i}", 1, F.col("on"), F.col("tp")), rule(1, "!{i}", 1, F.col("_n") - F.col("on"), F.col("_p") - F.col("tp")))
+    every = pairs.select(group, "_n", "_p", F.explode(two).alias("r")).unionByName(ones.select(group, "_n", "_p", F.explode(one).alias("r")))
+    scored = every.select(group, "r", F.col("r.tp").alias("tp"), (F.col("r.on") - F.col("r.tp")).alias("fp"), (F.col("_p") - F.col("r.tp")).alias("fn"), (F.col("_n") - F.col("_p") - F.col("r.on") + F.col("r.tp")).alias("tn"))
+    best = scored.groupBy(group).agg(F.min(F.struct((-F.round(mcc(), 9)).alias("loss"), F.col("r").alias("r"))).alias("b"))
+    return best.select(group, F.col("b.r.rule").alias("rule"), F.col("b.r.depth").alias("depth"), (-F.col("b.loss")).alias("score"))

@@ -69,6 +69,25 @@ def sliding(sites: DataFrame, by_bp: int | None = None, by_rows: int | None = No
     return out.filter("_own").drop("_block", "_own") if by_bp is not None else out
 
 
+def sliding_cm(sites: DataFrame, reach: float) -> DataFrame:
+    """For each site the number of sites at most ``reach`` centimorgans (column ``cm``) away, and the least and mean p.
+
+    Windows go over whole millionths of a centimorgan, in blocks with halos as for bases.
+    """
+    size = round(reach * 1_000_000)
+    dealt = with_halo(sites.withColumnRenamed("pos", "_bp").withColumn("pos", F.round(F.col("cm") * 1_000_000).cast("long")), size, 50 * size)
+    w = Window.partitionBy("chrom", "_block").orderBy("pos").rangeBetween(-size, size)
+    out = dealt.withColumns({"n_window": F.count(F.lit(1)).over(w), "min_p": F.min("p").over(w), "mean_p": F.avg("p").over(w)})
+    return out.filter("_own").drop("_block", "_own", "pos").withColumnRenamed("_bp", "pos")
+
+
+def merge_key(c: Column) -> list[Column]:
+    """Order of merged panels: chromosomes whose name is a number come first, by it, then all others by name."""
+    name = F.regexp_replace(F.trim(c), "^(?i)chr", "")
+    number = F.when(name.rlike("^[0-9]{1,9}$"), name).try_cast("int")
+    return [number.isNull(), F.coalesce(number, F.lit(0)), name]
+
+
 def chrom_key(c: Column) -> list[Column]:
     """Natural order: numbers, then X, Y and mitochondria, then other names."""
     name = F.upper(F.regexp_replace(F.trim(c), "^(?i)chr", ""))

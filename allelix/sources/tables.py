@@ -116,6 +116,23 @@ def read_grm(spark: SparkSession, path: str, ids: str) -> DataFrame:
     return cells.filter("r <= c").join(a, "r").join(b, "c").select("i", "j", F.col("k").try_cast("double").alias("k"))
 
 
+def read_sparse_grm(spark: SparkSession, path: str, ids: str) -> DataFrame:
+    """(i, j, k) with i <= j, as numbers in ids, from a sparse text matrix of (row, column, value) counted from 0 and its id file."""
+    names = _numbered_lines(spark, ids).select("row", F.split(F.trim("line"), r"\s+").alias("f")).select("row", F.element_at("f", -1).alias("id"))
+    f = F.split(F.trim("line"), r"\s+")
+    cell = lambda x: F.try_element_at(f, F.lit(x))
+    cells = spark.read.text(path).select(F.col("value").alias("line")).filter("trim(line) <> ''").select(cell(1).try_cast("long").alias("r"), cell(2).try_cast("long").alias("c"), cell(3).try_cast("double").alias("k"))
+    cells = cells.filter("r is not null and c is not null").select(F.least("r", "c").alias("r"), F.greatest("r", "c").alias("c"), "k").dropDuplicates(["r", "c"])
+    a, b = names.select(F.col("row").alias("r"), F.col("id").alias("i")), names.select(F.col("row").alias("c"), F.col("id").alias("j"))
+    return cells.join(a, "r").join(b, "c").select("i", "j", "k")
+
+
+def read_covariates(spark: SparkSession, path: str, id_col: int = 0) -> DataFrame:
+    """(id, covariates...) of the samples for which every covariate is a number; repeated ids are averaged."""
+    t = read_phenotypes(spark, path, id_col).drop("first_seen")
+    return t.dropna(subset=[f"`{c}`" for c in t.columns if c != "id"])
+
+
 def parse_range(text: str) -> tuple[str, int, int]:
     """``chr:start-end``, in megabases, or in bases where a number has more than six digits."""
     m = re.fullmatch(r"\s*(?:chr)?([^:]+):([0-9.]+)-([0-9.]+)\s*", text, re.I)

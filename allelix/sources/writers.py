@@ -86,3 +86,15 @@ def rate_table(rates: DataFrame, sites: DataFrame, column: str) -> DataFrame:
     """``chrom pos rate`` text of site rates, six decimals."""
     j = rates.join(sites.select("site_id", "chrom", "pos"), "site_id")
     return j.select(F.concat_ws("\t", "chrom", F.col("pos").cast("string"), F.format_string("%.6f", F.col(column))).alias("value"))
+
+
+def sample_table(rates: DataFrame, samples: DataFrame, column: str) -> DataFrame:
+    """``iid rate`` text of sample rates, six decimals."""
+    j = rates.join(samples.select("sample_id", "iid"), "sample_id")
+    return j.select(F.concat_ws("\t", "iid", F.format_string("%.6f", F.col(column))).alias("value"))
+
+
+def score_table(scores: DataFrame, sites: DataFrame) -> DataFrame:
+    """``chrom pos score number`` text of LD scores and the sizes of their windows, six decimals."""
+    j = scores.join(sites.select("site_id", "chrom", "pos"), "site_id")
+    return j.select(F.concat_ws("\t", "chrom", F.col("pos").cast("string"), F.format_string("%.6f", F.col("ld_score")), F.col("m").cast("string")).alias("value"))

@@ -115,6 +115,41 @@ def golden_min(f, low: float, high: float, tol: float = 1e-8, steps: int = 200)
     return x
 
 
+def golden_min_many(f, m: int, low: float, high: float, tol: float = 1e-8, steps: int = 200) -> np.ndarray:
+    """``golden_min`` for m functions side by side: ``f`` takes the numbers of those still searched and a point for each."""
+    r = (3 - math.sqrt(5)) / 2
+    lo, hi = np.full(m, float(low)), np.full(m, float(high))
+    x = lo + r * (hi - lo)
+    w, v, d, e = x.copy(), x.copy(), np.zeros(m), np.zeros(m)
+    left = np.arange(m)
+    fx = np.asarray(f(left, x), float)
+    fw, fv = fx.copy(), fx.copy()
+    for _ in range(steps):
+        t = tol * np.abs(x[left]) + 1e-12
+        far = np.abs(x[left] - (lo[left] + hi[left]) / 2) > 2 * t - (hi[left] - lo[left]) / 2
+        left, t = left[far], t[far]
+        if not len(left):
+            break
+        a, b, X, W, V, FX, FW, FV, D, E = (z[left] for z in (lo, hi, x, w, v, fx, fw, fv, d, e))
+        p, q = (X - W) * (FX - FV), (X - V) * (FX - FW)
+        num, den = (X - V) * q - (X - W) * p, 2 * (q - p)
+        num, den = np.where(den > 0, -num, num), np.abs(den)
+        bent = (np.abs(E) > t) & (np.abs(num) < np.abs(den * E / 2)) & (den * (a - X) < num) & (num < den * (b - X))
+        E = np.where(bent, D, np.where(X < (a + b) / 2, b - X, a - X))
+        D = np.where(bent, num / np.where(den > 0, den, 1.0), r * E)
+        u = X + np.where(np.abs(D) >= t, D, np.copysign(t, D))
+        fu = np.asarray(f(left, u), float)
+        better, up = fu <= FX, u >= X
+        lo[left] = np.where(better, np.where(up, X, a), np.where(up, a, u))
+        hi[left] = np.where(better, np.where(up, b, X), np.where(up, u, b))
+        second = ~better & ((fu <= FW) | (W == X))
+        third = ~better & ~second & ((fu <= FV) | (V == X) | (V == W))
+        v[left], fv[left] = np.where(better | second, W, np.where(third, u, V)), np.where(better | second, FW, np.where(third, fu, FV))
+        w[left], fw[left] = np.where(better, X, np.where(second, u, W)), np.where(better, FX, np.where(second, fu, FW))
+        x[left], fx[left], d[left], e[left] = np.where(better, u, X), np.where(better, fu, FX), D, E
+    return x
+
+
 @F.pandas_udf(DoubleType())
 def t_pvalue(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(student_p(t.to_numpy(float), df.to_numpy(float)))

@@ -148,3 +148,29 @@ def test_sparse_matrix_and_covariate_files(spark, tmp_path):
     assert sorted((r["i"], r["j"], r["k"]) for r in got) == [("a", "a", 1.5), ("a", "b", 0.25), ("c", "c", 0.9)]
     (tmp_path / "c.txt").write_text("id\tage\tpc.1\na\t3\t0.5\nb\tNA\t1\na\t5\t1.5\n")
     assert [tuple(r) for r in readers.read_covariates(spark, str(tmp_path / "c.txt")).collect()] == [("a", 4.0, 1.0)]
+
+
+def test_searches_side_by_side_are_those_of_each_function():
+    from allelix.functions.stats import golden_min, golden_min_many
+
+    rng = np.random.default_rng(4)
+    at, k = rng.uniform(-6, 6, 200), rng.uniform(0.1, 3, 200)
+    one = lambda a, b: lambda t: b * (t - a) ** 2 + math.sin(3 * t) * 0.3 + abs(t - a)
+    got = golden_min_many(lambda i, t: k[i] * (t - at[i]) ** 2 + np.sin(3 * t) * 0.3 + np.abs(t - at[i]), 200, -5, 5, 1e-6)
+    assert got == pytest.approx([golden_min(one(a, b), -5, 5, 1e-6) for a, b in zip(at, k)], abs=1e-5)
+    assert len(golden_min_many(lambda i, t: t, 0, -5, 5)) == 0
+
+
+def test_blocks_of_sites_fit_like_single_sites(spark, monkeypatch):
+    monkeypatch.setattr(mixed, "SITES", 7)
+    g, y = _panel(5)
+    c = np.random.default_rng(5).normal(size=(len(y), 2))
+    rows = _rows(spark, g)
+    spec = mixed.Spectrum(mixed.relationship(rows, len(y)), y, c)
+    got = {r["site_id"]: r for r in mixed.scan(rows.filter("site_id < 20"), spec, "lmm").collect()}
+    for j in range(20):
+        x = np.column_stack([spec.x, spec.u.T @ g[:, j]])
+        t = mixed.fit_lambda(spec.s, x, spec.y)
+        _, b, cov, _ = mixed.profile(t, spec.s, x, spec.y)
+        assert got[j]["log10_lambda"] == pytest.approx(t, abs=2e-3)
+        assert (got[j]["beta"], got[j]["se"]) == pytest.approx((b[-1], math.sqrt(cov[-1, -1])), rel=1e-4)

@@ -172,7 +172,8 @@ def neglog10(p: Column) -> Column:
 
 
 def pearson(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy: Column) -> Column:
-    """Correlation from sums; null where a variance is 0."""
+    """Correlation from sums; null where a variance is 0.  In doubles, as products of whole sums leave 64 bits."""
+    n, sx, sy, sxx, syy, sxy = (c.cast("double") for c in (n, sx, sy, sxx, syy, sxy))
     vx, vy = n * sxx - sx * sx, n * syy - sy * sy
-    den = F.sqrt(F.when((vx > 0) & (vy > 0), vx.cast("double") * vy.cast("double")))
-    return (n * sxy - sx * sy).cast("double") / den
+    den = F.sqrt(F.when((vx > 0) & (vy > 0), vx * vy))
+    return (n * sxy - sx * sy) / den

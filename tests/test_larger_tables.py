@@ -3,7 +3,7 @@
 import pyspark.sql.functions as F
 import pytest
 
-from allelix.operators import scores
+from allelix.operators import intervals, scores
 
 
 def test_gains_beyond_64_bits(spark):
@@ -11,3 +11,12 @@ def test_gains_beyond_64_bits(spark):
     y = spark.range(2000).select(F.col("id").alias("sample_id"), (F.lit(10_000_000) * (F.col("id") % 2 * 2 - 1)).alias("y"))
     got = scores.gains(spark.range(1000).select(F.lit(1).alias("site_id"), (F.col("id") * 2 + 1).alias("sample_id")), y, "site_id").collect()[0]
     assert got["n_hit"] == 1000 and got["corr"] == pytest.approx(1.0) and got["mean_diff"] == pytest.approx(2e7)
+
+
+def test_parents_beyond_the_recursion_limit(spark):
+    """A recursive query stops at spark.sql.cteRecursionRowLimit rows, 1,000,000 by default."""
+    edges = spark.range(600_000).select(F.col("id"), F.when(F.col("id") % 3 == 0, -1 - F.col("id") % 5).otherwise(F.col("id") - 1).alias("parent"))
+    roots = spark.createDataFrame([(-x,) for x in range(1, 6)], "id long")
+    got = intervals.resolve_parents(edges, roots)
+    assert got.count() == 600_000
+    assert {tuple(r) for r in got.filter("id in (29, 31, 299999)").collect()} == {(29, -3), (31, -1), (299999, -3)}

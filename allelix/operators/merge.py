@@ -20,12 +20,16 @@ def allele_map(ref: Column, alt: Column, r: Column, a: Column) -> Column:
     )
 
 
-def panel(calls: DataFrame, sites: DataFrame, index: int) -> DataFrame:
-    """Calls of one input with its biallelic SNPs; of repeated coordinates the first site counts."""
+def panel_sites(sites: DataFrame, index: int) -> DataFrame:
+    """The biallelic SNPs of one input, whether they have calls or not; of repeated coordinates the first site counts."""
     snp = sites.filter(F.col("ref").rlike("^[ACGT]$") & F.col("alt").rlike("^[ACGT]$") & (F.col("ref") != F.col("alt")))
     w = Window.partitionBy("chrom", "pos").orderBy("site_id")
-    first = snp.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").select("site_id", "chrom", "pos", "ref", "alt")
-    return calls.join(first, "site_id").select("chrom", "pos", "ref", "alt", F.lit(index).alias("input"), "sample_id", "g")
+    return snp.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").select("site_id", "chrom", "pos", "ref", "alt", F.lit(index).alias("input"))
+
+
+def panel(calls: DataFrame, sites: DataFrame, index: int) -> DataFrame:
+    """Calls of one input with its biallelic SNPs."""
+    return calls.join(panel_sites(sites, index), "site_id").select("chrom", "pos", "ref", "alt", "input", "sample_id", "g")
 
 
 def site_table(panels: list[DataFrame]) -> DataFrame:
@@ -38,12 +42,14 @@ def site_table(panels: list[DataFrame]) -> DataFrame:
     )
 
 
-def merge_panels(panels: list[DataFrame]) -> DataFrame:
+def merge_panels(panels: list[DataFrame], sites: list[DataFrame] | None = None) -> DataFrame:
     """(chrom, pos, ref, alt, input, sample_id, g) in the alleles of the merged sites; inputs that cannot be aligned are left out.
 
+    ``sites`` are the inputs' site tables: the first that lists a site gives its
+    alleles, with calls or without.  Where they are not given, sites without calls are not known.
     A sample that is absent from a site has no row there, which is how long tables say missing.
     """
-    maps = site_table(panels).filter("map is not null")
+    maps = site_table(sites or panels).filter("map is not null")
     calls = reduce(DataFrame.unionByName, panels).select("chrom", "pos", "input", "sample_id", "g")
     swapped = F.col("map").isin("swap", "strand_swap")
     return calls.join(maps, ["chrom", "pos", "input"]).select("chrom", "pos", "ref", "alt", "input", "sample_id", F.when(swapped, 2 - F.col("g")).otherwise(F.col("g")).alias("g"))

@@ -21,17 +21,23 @@ m AS (SELECT u.input, u.site_id, u.chrom, u.pos, f.r, f.a, CASE WHEN u.ref = r A
   FROM u JOIN f ON u.chrom = f.chrom AND u.pos = f.pos)"""
 
 
-def _panels(spark, d):
-    s, g = view(spark, d, "sites").select("site_id", "chrom", "pos", "ref", "alt").filter("ref <> alt"), view(spark, d, "geno")
+def _panel_sites(spark, d):
+    s = view(spark, d, "sites").select("site_id", "chrom", "pos", "ref", "alt").filter("ref <> alt")
     k, ref, alt = F.col("site_id"), F.col("ref"), F.col("alt")
     s1 = s.withColumns({"ref": F.when(k % 4 == 1, alt).when(k % 5 == 2, merge.complement(ref)).otherwise(ref), "alt": F.when(k % 4 == 1, ref).when(k % 5 == 2, merge.complement(alt)).otherwise(alt)})
     s2 = s.filter("site_id % 2 = 0").withColumn("alt", F.when(k % 7 == 3, F.translate(alt, "ACGT", "CATG")).otherwise(alt))
-    return [merge.panel(g.filter(F.col("sample_id") % 3 == i), x, i) for i, x in enumerate((s.filter("site_id % 3 <> 0"), s1, s2))]
+    return [s.filter("site_id % 3 <> 0"), s1, s2]
+
+
+def _panels(spark, d):
+    g = view(spark, d, "geno")
+    return [merge.panel(g.filter(F.col("sample_id") % 3 == i), x, i) for i, x in enumerate(_panel_sites(spark, d))]
 
 
 @query("merge_panels", f"WITH {PANELS} SELECT m.chrom, m.pos, r AS ref, a AS alt, CAST(input AS INT) AS input, sample_id, CAST(CASE WHEN map IN ('swap', 'strand_swap') THEN 2 - g ELSE g END AS INT) AS g FROM m JOIN geno g ON m.site_id = g.site_id AND g.sample_id % 3 = input WHERE map IS NOT NULL", ("sites", "geno"))
 def merge_panels(spark, d):
-    return merge.merge_panels(_panels(spark, d)).withColumn("g", F.col("g").cast("int"))
+    sites = [merge.panel_sites(x, i) for i, x in enumerate(_panel_sites(spark, d))]
+    return merge.merge_panels(_panels(spark, d), sites).withColumn("g", F.col("g").cast("int"))
 
 
 @query("merge_counts", f"""WITH {PANELS}, h AS (SELECT DISTINCT m.input, m.site_id, m.chrom, m.pos FROM m JOIN geno g ON m.site_id = g.site_id AND g.sample_id % 3 = input),

@@ -3,7 +3,7 @@
 import pyspark.sql.functions as F
 import pytest
 
-from allelix.operators import intervals, scores
+from allelix.operators import intervals, merge, scores
 
 
 def test_gains_beyond_64_bits(spark):
@@ -20,3 +20,13 @@ def test_parents_beyond_the_recursion_limit(spark):
     got = intervals.resolve_parents(edges, roots)
     assert got.count() == 600_000
     assert {tuple(r) for r in got.filter("id in (29, 31, 299999)").collect()} == {(29, -3), (31, -1), (299999, -3)}
+
+
+def test_merge_alleles_come_from_listed_sites(spark):
+    """The first input lists the site without a call at it; its alleles still are those of the merged site."""
+    kind = "site_id long, chrom string, pos int, ref string, alt string"
+    sites = [spark.createDataFrame([(1, "1", 5, "A", "G"), (2, "1", 9, "A", "C")], kind), spark.createDataFrame([(1, "1", 5, "G", "A"), (2, "1", 9, "A", "C")], kind)]
+    calls = [spark.createDataFrame([(2, 0, 1)], "site_id long, sample_id long, g int"), spark.createDataFrame([(1, 1, 2), (2, 1, 0)], "site_id long, sample_id long, g int")]
+    panels = [merge.panel(c, s, i) for i, (c, s) in enumerate(zip(calls, sites))]
+    got = merge.merge_panels(panels, [merge.panel_sites(s, i) for i, s in enumerate(sites)])
+    assert {tuple(r) for r in got.collect()} == {("1", 5, "A", "G", 1, 1, 0), ("1", 9, "A", "C", 0, 0, 1), ("1", 9, "A", "C", 1, 1, 0)}

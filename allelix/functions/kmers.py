@@ -92,9 +92,29 @@ def or_words(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x.bitwiseOR(y))
 
 
+def bit_words(df: DataFrame, key: str, bit: str) -> DataFrame:
+    """(key, _w, _v): set bits of each key as 63-bit words, only those that are not 0, with their numbers."""
+    words = df.select(key, F.floor(F.col(bit) / 63).alias("_w"), (F.col(bit) % 63).cast("int").alias("_b")).distinct()
+    return words.groupBy(key, "_w").agg(F.sum(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_b"))).alias("_v"))
+
+
+def pair_popcounts(words: DataFrame, key: str, step: int) -> DataFrame:
+    """(key, n_a, n_b, n_and, n_or): bits of each key and of key + ``step``, where both have some.
+
+    ``words`` are ``bit_words``: words meet by key and number, so the work follows the
+    set bits, not the highest bit.
+    """
+    none = F.lit(0).cast("long")
+    mine = words.select(key, "_w", F.col("_v").alias("a"), none.alias("b"))
+    other = words.select((F.col(key) - step).alias(key), "_w", none.alias("a"), F.col("_v").alias("b"))
+    a, b = F.col("a"), F.col("b")
+    met = mine.unionByName(other).groupBy(key, "_w").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    counts = {"n_a": a, "n_b": b, "n_and": a.bitwiseAND(b), "n_or": a.bitwiseOR(b)}
+    return met.groupBy(key).agg(*(F.sum(F.bit_count(v).cast("long")).alias(n) for n, v in counts.items())).filter("n_a > 0 and n_b > 0")
+
+
 def pack_bits(df: DataFrame, key: str, bit: str) -> DataFrame:
     """(key, words): set bits of each key as 63-bit words, the lowest first, up to its highest bit."""
-    words = df.select(key, F.floor(F.col(bit) / 63).alias("_w"), (F.col(bit) % 63).cast("int").alias("_b")).distinct()
-    words = words.groupBy(key, "_w").agg(F.sum(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_b"))).alias("_v"))
+    words = bit_words(df, key, bit)
     m = words.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_w", "_v"))).alias("_m"), F.max("_w").alias("_top"))
     return m.select(key, F.transform(F.sequence(F.lit(0).cast("long"), "_top"), lambda i: F.coalesce(F.element_at("_m", i), F.lit(0).cast("long"))).alias("words"))

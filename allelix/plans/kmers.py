@@ -65,12 +65,7 @@ def kmer_group_patterns(spark, d):
 b AS (SELECT x.site_id, count(*) AS n FROM h x JOIN h y ON x.sample_id = y.sample_id AND y.site_id = x.site_id + 20 GROUP BY x.site_id)
 SELECT a.site_id, a.n AS n_a, c.n AS n_b, coalesce(b.n, 0) AS n_and, a.n + c.n - coalesce(b.n, 0) AS n_or FROM n a JOIN n c ON c.site_id = a.site_id + 20 LEFT JOIN b ON a.site_id = b.site_id""", ("geno",))
 def bit_popcounts(spark, d):
-    words = kmers.pack_bits(view(spark, d, "geno").filter("g >= 1"), "site_id", "sample_id")
-    other = words.select((F.col("site_id") - 20).alias("site_id"), F.col("words").alias("w2"))
-    top = F.greatest(F.size("words"), F.size("w2"))
-    pad = lambda c: F.transform(F.sequence(F.lit(1), top), lambda i: F.coalesce(F.try_element_at(F.col(c), i), F.lit(0).cast("long")))
-    j = words.join(other, "site_id").withColumns({"a": pad("words"), "b": pad("w2")})
-    return j.select("site_id", kmers.popcount(F.col("a")).alias("n_a"), kmers.popcount(F.col("b")).alias("n_b"), kmers.and_popcount(F.col("a"), F.col("b")).alias("n_and"), kmers.popcount(kmers.or_words(F.col("a"), F.col("b"))).alias("n_or"))
+    return kmers.pair_popcounts(kmers.bit_words(view(spark, d, "geno").filter("g >= 1"), "site_id", "sample_id"), "site_id", 20)
 
 
 CONF = """t AS (SELECT count(*) AS n, count(*) FILTER (WHERE case_status = 1) AS pos FROM samples),

@@ -3,6 +3,7 @@
 import pyspark.sql.functions as F
 import pytest
 
+from allelix.functions import kmers
 from allelix.operators import intervals, merge, scores
 
 
@@ -30,3 +31,11 @@ def test_merge_alleles_come_from_listed_sites(spark):
     panels = [merge.panel(c, s, i) for i, (c, s) in enumerate(zip(calls, sites))]
     got = merge.merge_panels(panels, [merge.panel_sites(s, i) for i, s in enumerate(sites)])
     assert {tuple(r) for r in got.collect()} == {("1", 5, "A", "G", 1, 1, 0), ("1", 9, "A", "C", 0, 0, 1), ("1", 9, "A", "C", 1, 1, 0)}
+
+
+def test_pair_popcounts_follow_set_bits(spark):
+    """Bits near 10^12: one word each, where words up to the highest bit would not fit."""
+    bits = {1: {5, 10**12}, 21: {10**12, 7, 6}, 41: {3}, 99: {1}}
+    hits = spark.createDataFrame([(s, b) for s, v in bits.items() for b in v], "site_id long, sample_id long")
+    got = kmers.pair_popcounts(kmers.bit_words(hits, "site_id", "sample_id"), "site_id", 20)
+    assert {tuple(r) for r in got.collect()} == {(1, 2, 3, 1, 4), (21, 3, 1, 0, 4)}

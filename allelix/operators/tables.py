@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType
 
 from ..functions.stats import pearson
 
@@ -42,9 +45,46 @@ def best_per_position(df: DataFrame) -> DataFrame:
     return df.groupBy("chrom", "pos").agg(F.min("p").alias("p"))
 
 
+#: A group is cut at one part in so many before and after each wanted quantile.
+SLICES = 256
+
+
 def quantile_thresholds(df: DataFrame, by: str, value: str, levels: list[float]) -> DataFrame:
-    """Exact quantiles with linear interpolation."""
-    return df.groupBy(by).agg(*(F.percentile(value, F.lit(q)).alias(f"q{round(q * 1000):03d}") for q in levels))
+    """Exact quantiles with linear interpolation; null for a group without values.
+
+    A group is cut into slices at approximate quantiles around the wanted ones, and the
+    rows of each slice are counted; the values of the slices that hold a wanted rank are
+    then ranked.  So no task sees a group's values, but those of one slice, equal ones once.
+    """
+    spark, v = df.sparkSession, F.col(value)
+    near = sorted({min(max(q + e / SLICES, 0.0), 1.0) for q in levels for e in (-1, 1)})
+    rows = df.select(F.col(by).alias("_by"), v.cast("double").alias("_v"))
+    cuts = rows.filter("_v is not null").groupBy(F.col("_by").alias("_group")).agg(F.array_distinct(F.percentile_approx("_v", near, 20 * SLICES)).alias("_cuts"))
+    cut = rows.filter("_v is not null").join(F.broadcast(cuts), F.col("_by").eqNullSafe(F.col("_group"))).select("_by", "_v", F.expr("aggregate(_cuts, 0, (a, c) -> a + if(_v > c, 1, 0))").alias("_s"))
+    wanted: list[tuple] = []
+    counts: dict = {}
+    for r in cut.groupBy("_by", "_s").agg(F.count(F.lit(1)).alias("n")).collect():
+        counts.setdefault(r["_by"], {})[r["_s"]] = r["n"]
+    for group, n in counts.items():
+        total, ends = sum(n.values()), {}
+        for s in sorted(n):
+            ends[s] = max(ends.values(), default=0) + n[s]
+        for q, level in enumerate(levels):
+            at = level * (total - 1)
+            for rank, weight in ((math.floor(at), 1 - (at - math.floor(at))), (math.floor(at) + 1, at - math.floor(at))):
+                if weight > 0:
+                    s = next(s for s in ends if ends[s] > rank)
+                    wanted.append((group, s, q, rank - (ends[s] - n[s]), weight))
+    found = spark.createDataFrame(wanted, rows.select("_by").schema.add("_s", IntegerType()).add("_q", IntegerType()).add("_rank", LongType()).add("_w", DoubleType()))
+    here = found.select("_by", "_s").distinct()
+    same = F.col("x._by").eqNullSafe(F.col("y._by")) & (F.col("x._s") == F.col("y._s"))
+    some = cut.alias("x").join(F.broadcast(here.alias("y")), same, "left_semi").groupBy("_by", "_s", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    last = F.sum("_n").over(Window.partitionBy("_by", "_s").orderBy("_v"))
+    placed = some.withColumn("_end", last).alias("x").join(F.broadcast(found.alias("y")), same & (F.col("_rank") < F.col("_end")) & (F.col("_rank") >= F.col("_end") - F.col("_n")))
+    names = [f"q{round(q * 1000):03d}" for q in levels]
+    part = placed.groupBy("x._by").agg(*(F.sum(F.when(F.col("_q") == q, F.col("_v") * F.col("_w"))).alias(n) for q, n in enumerate(names)))
+    groups = rows.groupBy("_by").agg(F.count(F.lit(1)).alias("_n")).alias("g")
+    return groups.join(F.broadcast(part.alias("p")), F.col("g._by").eqNullSafe(F.col("p._by")), "left").select(F.col("g._by").alias(by), *names)
 
 
 def frequent_groups(df: DataFrame, by: str, top: int, share: float) -> DataFrame:

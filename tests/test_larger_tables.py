@@ -4,7 +4,7 @@ import pyspark.sql.functions as F
 import pytest
 
 from allelix.functions import kmers
-from allelix.operators import intervals, merge, scores
+from allelix.operators import intervals, merge, scores, tables
 
 
 def test_gains_beyond_64_bits(spark):
@@ -39,3 +39,17 @@ def test_pair_popcounts_follow_set_bits(spark):
     hits = spark.createDataFrame([(s, b) for s, v in bits.items() for b in v], "site_id long, sample_id long")
     got = kmers.pair_popcounts(kmers.bit_words(hits, "site_id", "sample_id"), "site_id", 20)
     assert {tuple(r) for r in got.collect()} == {(1, 2, 3, 1, 4), (21, 3, 1, 0, 4)}
+
+
+def test_quantiles_of_slices(spark, monkeypatch):
+    rows = [("a", float(x * 7919 % 1000)) for x in range(5000)] + [("b", 3.0)] * 40 + [("c", 1.0), ("c", 2.0)] + [("d", None)] + [(None, 4.0), (None, 8.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    levels = [0.0, 0.005, 0.37, 0.5, 1.0]
+    want = df.groupBy("k").agg(*(F.percentile("v", F.lit(q)).alias(f"q{round(q * 1000):03d}") for q in levels))
+    tidy = lambda d: sorted((tuple(r) for r in d.collect()), key=repr)
+    for slices in (2, 256):
+        monkeypatch.setattr(tables, "SLICES", slices, raising=False)
+        for a, b in zip(tidy(tables.quantile_thresholds(df, "k", "v", levels)), tidy(want), strict=True):
+            assert a[0] == b[0] and a[1:] == (pytest.approx(b[1:]) if b[1] is not None else b[1:])
+    plan = tables.quantile_thresholds(df, "k", "v", [0.5])._jdf.queryExecution().toString()
+    assert "percentile(" not in plan

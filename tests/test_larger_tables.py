@@ -1,10 +1,13 @@
 """Inputs beyond the small tables: sums over 64 bits, many ids, sites without calls, sparse bits, large groups."""
 
+import math
+
 import pyspark.sql.functions as F
 import pytest
 
 from allelix.functions import kmers
-from allelix.operators import intervals, merge, scores, tables
+from allelix.models import structure
+from allelix.operators import assoc, intervals, merge, scores, tables
 
 
 def test_gains_beyond_64_bits(spark):
@@ -53,3 +56,22 @@ def test_quantiles_of_slices(spark, monkeypatch):
             assert a[0] == b[0] and a[1:] == (pytest.approx(b[1:]) if b[1] is not None else b[1:])
     plan = tables.quantile_thresholds(df, "k", "v", [0.5])._jdf.queryExecution().toString()
     assert "percentile(" not in plan
+
+
+def test_sums_of_traits(spark):
+    geno = spark.createDataFrame([(s, i, (s + i) % 3 if i % 4 else None) for s in range(4) for i in range(12)], "site_id long, sample_id long, g int")
+    pheno = spark.createDataFrame([(i, t, i * 3 % 7 + len(t)) for i in range(12) for t in ("x", "yy") if (i + len(t)) % 5], "sample_id long, trait string, y long")
+    columns = ["site_id", "trait", "n", "sg", "sy", "sgg", "syy", "sgy"]
+    one, all_at_once = assoc.lm_sums(geno, pheno, ("trait",)), assoc.lm_sums_traits(geno, pheno, "trait", ["x", "yy", "z"])
+    assert sorted(map(tuple, one.select(columns).collect())) == sorted(map(tuple, all_at_once.select(columns).collect()))
+
+
+def test_loglik_keeps_one_row_for_a_call(spark):
+    """Shares and frequencies of all k stand in one row, so calls are neither multiplied by k nor grouped again."""
+    calls = spark.createDataFrame([(1, 1, 0), (1, 2, 2), (2, 1, None), (2, 2, 1), (3, 1, 1)], "site_id long, sample_id long, g int")
+    p = spark.createDataFrame([(1, 0, 0.2), (1, 1, 0.6), (2, 0, 0.5), (2, 1, 0.1), (3, 5, 0.3)], "site_id long, k long, p double")
+    q = spark.createDataFrame([(1, 0, 0.5), (1, 1, 0.5), (2, 0, 0.9), (2, 1, 0.1)], "sample_id long, k long, q double")
+    got = structure.admixture_loglik(calls, p, q)
+    want = 2 * math.log(0.6) + 2 * math.log(0.24) + math.log(0.46) + math.log(0.54)
+    assert got.collect()[0]["loglik"] == pytest.approx(want)
+    assert "sample_id#" not in "".join(x.split("keys=[")[1].split("]")[0] for x in got._jdf.queryExecution().toString().splitlines() if "keys=[site_id" in x)

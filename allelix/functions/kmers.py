@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StructField, StructType
+
+#: Letters whose k-mers are counted at once, and distinct k-mers held by a task.
+LETTERS = 1 << 20
 
 
 def reverse_complement(s: Column) -> Column:
@@ -42,11 +51,83 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def _reverse_codes(codes: np.ndarray, k: int) -> np.ndarray:
+    """Codes of the reverse complements."""
+    out, rest = np.zeros_like(codes), codes.copy()
+    for _ in range(k):
+        out = out << 2 | (3 - (rest & 3))
+        rest >>= 2
+    return out
+
+
+def _added(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    codes, at = np.unique(codes, return_inverse=True)
+    return codes, np.bincount(at, n, len(codes)).astype(np.int64)
+
+
+def _counts(letters: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Canonical codes and their counts; letters are 0 to 3, and 4 where a read parts."""
+    n = len(letters) - k + 1
+    codes, good = np.zeros(n, np.int64), np.ones(n, bool)
+    for at in range(k):
+        codes <<= 2
+        codes |= letters[at : at + n]
+        good &= letters[at : at + n] < 4
+    codes = codes[good]
+    if 4**k <= LETTERS:
+        seen = np.bincount(codes, minlength=4**k)
+        codes = np.flatnonzero(seen)
+        seen = seen[codes]
+    else:
+        seen = np.ones(len(codes), np.int64)
+    return _added(np.minimum(codes, _reverse_codes(codes, k)), seen)
+
+
+def _count_in_tasks(k: int, by: int, kind: pa.Schema):
+    """Batches of (by..., sequence) to (by..., code, n), added up in the task as far as it holds them."""
+    digit = np.full(256, 4, np.uint8)
+    for d, pair in enumerate(("Aa", "Cc", "Gg", "Tt")):
+        digit[[ord(c) for c in pair]] = d
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for key, (codes, n) in held.items():
+                yield pa.RecordBatch.from_arrays([*(pa.array([x] * len(codes), f.type) for x, f in zip(key, kind)), pa.array(codes, pa.int64()), pa.array(n, pa.int64())], [*(f.name for f in kind), "_code", "n"])
+            held.clear()
+
+        for b in batches:
+            groups: dict[tuple, list[bytes]] = {}
+            for *key, text in zip(*(b.column(c).to_pylist() for c in range(by)), b.column(by).cast(pa.binary()).to_pylist()):
+                if text:
+                    groups.setdefault(tuple(key), []).append(text)
+            for key, texts in groups.items():
+                letters = digit[np.frombuffer(b"\n".join(texts), np.uint8)]
+                for lo in range(0, len(letters) - k + 1, LETTERS):  # the last k - 1 letters of a piece begin the next
+                    codes, n = _counts(letters[lo : lo + LETTERS + k - 1], k)
+                    old = held.get(key, (codes[:0], n[:0]))
+                    held[key] = _added(np.concatenate([old[0], codes]), np.concatenate([old[1], n]))
+                    if sum(len(c) for c, _ in held.values()) > LETTERS:
+                        yield from sent()
+        yield from sent()
+
+    return run
+
+
 def count_kmers(reads: DataFrame, sequence: str, k: int, *by: str) -> DataFrame:
-    """Canonical k-mers of A, C, G and T with their counts; other letters part a read."""
-    runs = spread(reads).select(*by, F.explode(F.split(F.upper(F.col(sequence)), "[^ACGT]+")).alias("_run"))
-    all_of = runs.select(*by, F.explode(windows_of(F.col("_run"), k)).alias("_w"))
-    return all_of.groupBy(*by, canonical(F.col("_w")).alias("kmer")).agg(F.count(F.lit(1)).alias("n"))
+    """Canonical k-mers of A, C, G and T with their counts; other letters part a read.
+
+    Up to 31 letters windows are codes in a task and become text only after they are counted.
+    """
+    if k > 31:
+        runs = spread(reads).select(*by, F.explode(F.split(F.upper(F.col(sequence)), "[^ACGT]+")).alias("_run"))
+        all_of = runs.select(*by, F.explode(windows_of(F.col("_run"), k)).alias("_w"))
+        return all_of.groupBy(*by, canonical(F.col("_w")).alias("kmer")).agg(F.count(F.lit(1)).alias("n"))
+    rows = spread(reads).select(*by, F.col(sequence).cast("string").alias("_seq"))
+    kind = StructType([rows.schema[c] for c in by])
+    counted = rows.mapInArrow(_count_in_tasks(k, len(by), to_arrow_schema(kind)), StructType([*kind.fields, StructField("_code", LongType()), StructField("n", LongType())]))
+    return counted.groupBy(*by, "_code").agg(F.sum("n").alias("n")).select(*by, decode(F.col("_code"), k).alias("kmer"), "n")
 
 
 def presence(counts: DataFrame, sample: str, low: float = 0.0) -> DataFrame:

@@ -75,3 +75,20 @@ def test_loglik_keeps_one_row_for_a_call(spark):
     want = 2 * math.log(0.6) + 2 * math.log(0.24) + math.log(0.46) + math.log(0.54)
     assert got.collect()[0]["loglik"] == pytest.approx(want)
     assert "sample_id#" not in "".join(x.split("keys=[")[1].split("]")[0] for x in got._jdf.queryExecution().toString().splitlines() if "keys=[site_id" in x)
+
+
+def test_kmers_are_counted_in_tasks(spark, monkeypatch):
+    """Pieces of 16 letters, and texts only after counting: windows are no rows of their own."""
+    from collections import Counter
+
+    monkeypatch.setattr(kmers, "LETTERS", 16)
+    rows = [("a", "acgtNACGTTGCAACGGTTACGATCGATTTGACCA" * 3), ("b", "ACG"), (None, "TTTTTTÄTTTTTT"), ("a", None), ("b", "")]
+    got = kmers.count_kmers(spark.createDataFrame(rows, "s string, r string"), "r", 4, "s")
+    want = Counter()
+    for s, r in rows:
+        for i in range(len(r or "") - 3):
+            w = r[i : i + 4].upper()
+            if set(w) <= set("ACGT"):
+                want[s, min(w, w[::-1].translate(str.maketrans("ACGT", "TGCA")))] += 1
+    assert {(x["s"], x["kmer"]): x["n"] for x in got.collect()} == want
+    assert "Generate" not in got._jdf.queryExecution().toString()
